@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, tokencount
+from . import neardup, packing, quality, tokencount, tokenorc
 from .shared import documents
 
 
@@ -10,13 +10,25 @@ def op1_best_fit_packing(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir))
 
 
+def op6_minhash_near_dedup(spark, sf_dir):
+    return neardup.near_duplicates(documents(spark, sf_dir))
+
+
+def op8_quality_rules(spark, sf_dir):
+    return quality.apply_rules(documents(spark, sf_dir))
+
+
+def op9_token_orc(spark, sf_dir):
+    return tokenorc.store_and_digest(documents(spark, sf_dir))
+
+
 def op10_token_counts(spark, sf_dir):
     return tokencount.count(documents(spark, sf_dir))
 
 
 def queries():
-    return {f.__name__: f for f in (op1_best_fit_packing, op10_token_counts)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op6_minhash_near_dedup, op8_quality_rules, op9_token_orc, op10_token_counts)}
 
 
 def oracle_sql():
-    return {}
+    return {"op8_quality_rules": quality.SQL}
