@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import neardup, packing, quality, tokencount, tokenorc
+from . import langid, linededup, neardup, packing, quality, tokencount, tokenorc
 from .shared import documents
 
 
@@ -10,6 +10,14 @@ def op1_best_fit_packing(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir))
 
 
+def op2_line_dedup(spark, sf_dir):
+    return linededup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def op4_language_id(spark, sf_dir):
+    return langid.identify(documents(spark, sf_dir))
+
+
 def op6_minhash_near_dedup(spark, sf_dir):
     return neardup.near_duplicates(documents(spark, sf_dir))
 
@@ -27,7 +35,7 @@ def op10_token_counts(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_best_fit_packing, op6_minhash_near_dedup, op8_quality_rules, op9_token_orc, op10_token_counts)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op4_language_id, op6_minhash_near_dedup, op8_quality_rules, op9_token_orc, op10_token_counts)}
 
 
 def oracle_sql():
