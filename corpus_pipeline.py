@@ -1,11 +1,74 @@
-"""From raw documents to packed training sequences, in stages."""
+"""From raw documents to packed training sequences, in stages.
 
-STAGES = []
+Each stage takes the documents that its predecessor kept, written as Parquet and read
+again, and calls one operator of ``siftprint.llm``.  All but the last return the columns
+of ``documents``.
+
+Rows that share a doc_id share a verdict (kept if one of them is); rows without a doc_id
+count as sharing one, and near-duplicate removal always keeps them.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siftprint.llm import langid, linededup, neardup, packing, quality, shared
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _keep(docs: DataFrame, verdicts: DataFrame, *more) -> DataFrame:
+    """The rows of docs whose doc_id is kept by verdicts (doc_id, kept), with more columns of theirs."""
+    one = verdicts.groupBy("doc_id").agg(F.max("kept").alias("kept_"), *more).where("kept_").withColumnRenamed("doc_id", "id_")
+    return docs.join(one, docs["doc_id"].eqNullSafe(one["id_"]))
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is certain; lang is the language found."""
+    found = langid.identify(docs)
+    kept = _keep(docs, found, F.max_by("language", "probability").alias("lang_"))
+    return kept.withColumn("lang", F.coalesce("lang_", "lang")).select(*COLUMNS)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the rules, on hosts that do."""
+    return _keep(docs, quality.apply_rules(docs)).select(*COLUMNS)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the later copies of repeated runs of lines."""
+    out = linededup.dedup_lines(docs.select(*COLUMNS))
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return _keep(docs, neardup.near_duplicates(docs)).select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' tokens, packed into sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("packing", pack),
+]
+
+#: SQL can express neither the language model nor the tokenizer; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each written as Parquet in the shared folder and read by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = shared.table(docs, f"pipeline-{name}")
     return docs
