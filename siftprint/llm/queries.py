@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, linededup, neardup, packing, quality, tokencount, tokenorc
+from . import langid, linededup, neardup, packing, quality, tokencount, tokenorc, warc
 from .shared import documents
 
 
@@ -22,6 +22,10 @@ def op6_minhash_near_dedup(spark, sf_dir):
     return neardup.near_duplicates(documents(spark, sf_dir))
 
 
+def op7_warc(spark, sf_dir):
+    return warc.archive_and_read(documents(spark, sf_dir, "pages"))
+
+
 def op8_quality_rules(spark, sf_dir):
     return quality.apply_rules(documents(spark, sf_dir))
 
@@ -35,8 +39,8 @@ def op10_token_counts(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op4_language_id, op6_minhash_near_dedup, op8_quality_rules, op9_token_orc, op10_token_counts)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op4_language_id, op6_minhash_near_dedup, op7_warc, op8_quality_rules, op9_token_orc, op10_token_counts)}
 
 
 def oracle_sql():
-    return {"op8_quality_rules": quality.SQL}
+    return {"op7_warc": warc.SQL, "op8_quality_rules": quality.SQL}

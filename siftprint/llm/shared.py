@@ -41,6 +41,12 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return path
 
 
+def make_dirs(spark: SparkSession, *uris: str) -> None:
+    for uri in uris:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(p)
+
+
 def table(df: DataFrame, what: str) -> DataFrame:
     """``df`` written to the shared folder and read again: the lineage ends here."""
     path = fresh_path(df.sparkSession, what) + "/table"
