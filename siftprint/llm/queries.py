@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, linededup, neardup, packing, quality, tokencount, tokenorc, warc
+from . import langid, linededup, mpeg, neardup, packing, quality, tokencount, tokenorc, warc
 from .shared import documents
 
 
@@ -18,6 +18,10 @@ def op4_language_id(spark, sf_dir):
     return langid.identify(documents(spark, sf_dir))
 
 
+def op5_mpeg_audio(spark, sf_dir):
+    return mpeg.features(mpeg.store(documents(spark, sf_dir)))
+
+
 def op6_minhash_near_dedup(spark, sf_dir):
     return neardup.near_duplicates(documents(spark, sf_dir))
 
@@ -39,7 +43,7 @@ def op10_token_counts(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op4_language_id, op6_minhash_near_dedup, op7_warc, op8_quality_rules, op9_token_orc, op10_token_counts)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op4_language_id, op5_mpeg_audio, op6_minhash_near_dedup, op7_warc, op8_quality_rules, op9_token_orc, op10_token_counts)}
 
 
 def oracle_sql():
