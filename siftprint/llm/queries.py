@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, linededup, mpeg, neardup, packing, quality, tokencount, tokenorc, warc
+from . import langid, linededup, mpeg, neardup, packing, quality, spwfst, tokencount, tokenorc, warc
 from .shared import documents
 
 
@@ -14,6 +14,10 @@ def op2_line_dedup(spark, sf_dir):
     return linededup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op3_sentencepiece(spark, sf_dir):
+    return spwfst.round_trip(documents(spark, sf_dir))
+
+
 def op4_language_id(spark, sf_dir):
     return langid.identify(documents(spark, sf_dir))
 
@@ -43,7 +47,7 @@ def op10_token_counts(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op4_language_id, op5_mpeg_audio, op6_minhash_near_dedup, op7_warc, op8_quality_rules, op9_token_orc, op10_token_counts)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_sentencepiece, op4_language_id, op5_mpeg_audio, op6_minhash_near_dedup, op7_warc, op8_quality_rules, op9_token_orc, op10_token_counts)}
 
 
 def oracle_sql():
