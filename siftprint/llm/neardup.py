@@ -91,14 +91,43 @@ def _sketches(words: int, k: int):
     return run
 
 
-def _full(words: int):
+def _slots(ids: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Two of 2 ** bits slots for each id."""
+    h = _mix(ids.astype(np.uint64) * _STEP)
+    return [(h >> np.uint64(64 - bits)).astype(np.int64), (h & np.uint64((1 << bits) - 1)).astype(np.int64)]
+
+
+def _bloom(ids: DataFrame) -> tuple[int, np.ndarray]:
+    """ids: doc_id. A Bloom filter of 2 ** bits bits: 16 an id, but 8 MB at most."""
+    bits = min(26, max(16, (16 * ids.count()).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            slots = np.unique(np.concatenate(_slots(b.column(0).to_numpy(zero_copy_only=False), bits)))
+            yield pa.RecordBatch.from_arrays([pa.array(slots >> 3), pa.array(np.left_shift(1, slots & 7))], names=["byte", "bit"])
+
+    words = ids.mapInArrow(run, "byte long, bit long").groupBy("byte").agg(F.bit_or("bit").alias("bit")).toPandas()
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    out[words["byte"].to_numpy(np.int64)] = words["bit"].to_numpy(np.uint8)
+    return bits, out
+
+
+def _full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """node and set of the documents of a table of ids, without moving their texts."""
+    bits, bloom = _bloom(ids)
+    bloom = docs.sparkSession.sparkContext.broadcast(bloom)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in shared.slices(batch, "text", 4_000_000):
-                ids, texts = shared.columns(b, "doc_id", "text")
-                yield pa.RecordBatch.from_arrays([ids, _lists([shingles(t, words) for t in texts.to_pylist()])], names=["node", "set"])
+            doc = batch.column(batch.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)
+            a, b = _slots(doc, bits)
+            hit = (bloom.value[a >> 3] >> (a & 7).astype(np.uint8)) & (bloom.value[b >> 3] >> (b & 7).astype(np.uint8)) & 1
+            for b in shared.slices(batch.filter(pa.array(hit.astype(bool))), "text", 4_000_000):
+                own, texts = shared.columns(b, "doc_id", "text")
+                yield pa.RecordBatch.from_arrays([own, _lists([shingles(t, words) for t in texts.to_pylist()])], names=["node", "set"])
 
-    return run
+    sets = docs.where("doc_id IS NOT NULL").mapInArrow(run, "node long, set array<long>")
+    return shared.table(sets.join(ids.withColumnRenamed("doc_id", "node"), "node", "left_semi").dropDuplicates(["node"]), "near-sets")
 
 
 def forest(nodes: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -189,8 +218,8 @@ def _confirm(cand: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, per
     union = F.slice(F.sort_array(F.array_union("s_a", "s_b")), 1, k)
     both = F.size(F.array_intersect(union, F.array_intersect("s_a", "s_b")))
     est = shared.table(est.where(both >= ESTIMATE * F.size(union)).select("a", "b"), "near-pairs")
-    ids = est.select(F.col("a").alias("doc_id")).union(est.select("b")).distinct()
-    sets = shared.table(docs.join(ids, "doc_id", "left_semi").mapInArrow(_full(words), "node long, set array<long>"), "near-sets")
+    ids = shared.table(est.select(F.col("a").alias("doc_id")).union(est.select("b")).distinct(), "near-ids")
+    sets = _full_sets(docs, ids, words)
     full = est.join(sets.select(F.col("node").alias("a"), F.col("set").alias("s_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("s_b")), "b")
     both = F.size(F.array_intersect("s_a", "s_b"))
     return full.where(100 * both >= percent * (F.size("s_a") + F.size("s_b") - both)).select("a", "b")
@@ -214,8 +243,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     cand = _pairs(posted.select("node", F.explode("cold").alias("v")))
 
-    common = posted.where("common").select(F.col("node").alias("doc_id"))
-    common = shared.table(docs.join(common, "doc_id", "left_semi").mapInArrow(_full(words), "node long, set array<long>").dropDuplicates(["node"]), "near-common")
+    common = _full_sets(docs, posted.where("common").select(F.col("node").alias("doc_id")), words)
     prefix = shared.table(_prefixes(common, percent), "near-prefix")
     lists = shared.table(prefix.groupBy("v").agg(F.count("*").alias("m"), F.sum("n").alias("total")).where("m > 1"), "near-lists")
     cand = cand.unionByName(_pairs(prefix.join(lists.where(F.col("m") <= HOT).select("v"), "v", "left_semi"))).distinct()
