@@ -130,7 +130,7 @@ def _write(folder: str):
                 for page, url, html, digest, first, first_url in zip(*(c.to_pylist() for c in shared.columns(b, "page_id", "url", "html", "digest", "first", "first_url")), strict=True):
                     if out is None:
                         file = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
-                        out = fs.open_output_stream(f"{path}/{file}")
+                        out = fs.open_output_stream(f"{path}/{file}", compression=None)  # the members are compressed already
                     uri = target(url, page)
                     refers = None if first is None or page is None or page <= first else (first, target(first_url, first))
                     data = _gzip(encode_record(page, uri, (html or "").encode(), digest, refers))
@@ -167,7 +167,7 @@ def _index(folder: str, lines: int):
             nonlocal name, out, offset
             if out is None:
                 name = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.idx"
-                out = fs.open_output_stream(f"{path}/{name}")
+                out = fs.open_output_stream(f"{path}/{name}", compression=None)
             data = zlib.compress("\n".join(json.dumps(x) for x in block).encode(), 6)
             out.write(data)
             directory.append([block[0][0], block[0][1], offset, len(data)])
@@ -264,7 +264,7 @@ def _read(files, top, index_folder: str, folder: str):
         for b in batches:
             for i in b.column(0).to_pylist():
                 rows = []
-                with fs.open_input_stream(f"{path}/{files.value[i]}") as stream:
+                with fs.open_input_stream(f"{path}/{files.value[i]}", compression=None) as stream:
                     for data in members(stream):
                         h, payload = decode_record(data)
                         page = int(h["X-Page-Id"]) if "X-Page-Id" in h else None
