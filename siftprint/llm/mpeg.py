@@ -62,6 +62,11 @@ class Header:
     length: int  # bytes of the frame
     samples: int
 
+    @property
+    def kind(self) -> tuple[int, int, int, bool]:
+        """What the frames of a stream have in common."""
+        return self.version, self.layer, self.rate, self.protected
+
     @property
     def side(self) -> int:
         """Bytes of side information of Layer III."""
@@ -190,7 +195,7 @@ def _sync(data: bytes, at: int, end: int) -> int:
         if h and at + h.length <= end:
             after = data[at + h.length : min(at + h.length + 4, end)]
             n = header(int.from_bytes(after, "big")) if len(after) == 4 else None
-            if not after or (n and (n.version, n.layer, n.rate) == (h.version, h.layer, h.rate)):
+            if not after or (n and n.kind == h.kind):
                 return at
         at += 1
     return -1
@@ -206,13 +211,13 @@ def parse(data: bytes) -> Stream:
     kind = None
     while at + 4 <= end:
         h = header(int.from_bytes(data[at : at + 4], "big"))
-        if not h or at + h.length > end or (kind and (h.version, h.layer, h.rate) != kind) or (not kind and _sync(data, at, at + h.length + 4 if at + h.length + 4 <= end else end) != at):
+        if not h or at + h.length > end or (kind and h.kind != kind) or (not kind and _sync(data, at, at + h.length + 4 if at + h.length + 4 <= end else end) != at):
             to = _sync(data, at + 1, end)
             s.skipped += (to if to >= 0 else end) - at
             at = to if to >= 0 else end
             continue
         first = kind is None
-        kind = (h.version, h.layer, h.rate)
+        kind = h.kind
         if h.protected and h.layer == 3:
             s.checked += 1
             s.bad_crc += crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]) != int.from_bytes(data[at + 4 : at + 6], "big")
