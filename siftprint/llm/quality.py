@@ -3,8 +3,9 @@
 Base counts come from whole texts, in array functions that take time n log n in the
 words of a text and need no shuffle.  Rule failures are then aggregated by host;
 each host's failure rate is shrunk towards the rate of all hosts by a beta prior that
-is fitted to the hosts by moments; a host whose shrunken rate of some rule is above
-``host_limit`` is rejected, and its verdict is joined back to its documents.
+is fitted to the hosts by moments; a host is rejected if its shrunken rate of some rule is
+above ``host_limit`` of the way from the rate of all hosts to 1, and at least above
+``host_limit`` itself; its verdict is joined back to its documents.
 
 Words are ``[^\\x20\\x09-\\x0D]+``, lines are split at ``\\n``.
 
@@ -125,15 +126,16 @@ def host_verdicts(failed: DataFrame, host_limit: float, flat_strength: float) ->
         moments += [(F.sum(r) / F.sum("n")).alias(f"m_{r}"), F.var_pop(rate).alias(f"v_{r}"), F.avg(1 / F.col("n")).alias(f"i_{r}")]
     prior = hosts.agg(*moments)  # one row
     h = hosts.crossJoin(F.broadcast(prior))
-    rates = []
+    rates, over = [], []
     for r in RULES:
         m = F.col(f"m_{r}")
         spread = m * (1 - m)
         between = F.col(f"v_{r}") - spread * F.col(f"i_{r}")  # without what chance adds
         strength = F.when((between > 0) & (spread > between), spread / between - 1).otherwise(F.lit(flat_strength))
-        rates.append(((F.col(r) + m * strength) / (F.col("n") + strength)).alias(f"rate_{r}"))
-    h = h.select("host", *rates)
-    return h.withColumn("host_failed", F.greatest(*[F.col(f"rate_{r}") for r in RULES]) > host_limit)
+        rate = (F.col(r) + m * strength) / (F.col("n") + strength)
+        rates.append(rate.alias(f"rate_{r}"))
+        over.append(rate - (host_limit + (1 - host_limit) * m))
+    return h.select("host", *rates, (F.greatest(*over) > 0).alias("host_failed"))
 
 
 def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 50, repeat_percent: int = 50, host_limit: float = 0.5, flat_strength: float = 20.0) -> DataFrame:
@@ -170,7 +172,7 @@ m AS (SELECT rule, sum(k) / sum(n) AS m, var_pop(k / n) AS v, avg(1 / n) AS i FR
 s AS (
   SELECT rule, m, CASE WHEN v - m * (1 - m) * i > 0 AND m * (1 - m) > v - m * (1 - m) * i
                        THEN m * (1 - m) / (v - m * (1 - m) * i) - 1 ELSE 20 END AS strength FROM m),
-v AS (SELECT source, max((k + m * strength) / (n + strength)) > 0.5 AS host_failed FROM h JOIN s USING (rule) GROUP BY source)
+v AS (SELECT source, max((k + m * strength) / (n + strength) - (0.5 + 0.5 * m)) > 0 AS host_failed FROM h JOIN s USING (rule) GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repetitive AS base_failed,
        NOT (short OR repetitive) AND NOT coalesce(host_failed, false) AS kept
 FROM f LEFT JOIN v USING (source)
