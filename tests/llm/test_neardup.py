@@ -1,0 +1,108 @@
+import random
+from collections import defaultdict
+from itertools import combinations
+
+import pytest
+
+from siftprint.llm import components, neardup
+
+from .conftest import sentence
+
+
+def word_set(text):
+    w = [x for x in (text or "").encode().lower().split()]
+    return set() if not w else {tuple(w)} if len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def brute(docs):
+    sets = {d: word_set(t) for d, t in docs}
+    parent = {d: d for d in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in combinations(sorted(sets), 2):
+        x, y = sets[a], sets[b]
+        if x and y and 100 * len(x & y) >= 75 * len(x | y):
+            p, q = root(a), root(b)
+            parent[max(p, q)] = min(p, q)
+    return {d: (len(sets[d]), root(d), root(d) == d) for d in sets}
+
+
+def near_copies(rng, groups=6, most=14):
+    docs, n = [], 0
+    passage = sentence(rng, 60).split()
+    for g in range(groups):
+        base = sentence(rng, rng.choice([4, 6, 20, 60, 200])).split()
+        for _ in range(rng.randint(1, most)):
+            w = list(base)
+            for _ in range(rng.randint(0, max(1, len(w) // 12))):
+                w[rng.randrange(len(w))] = f"x{rng.randint(0, 999)}"
+            if rng.random() < 0.3:
+                w = passage + w
+            text = " ".join(w)
+            docs.append((n, text.upper() if rng.random() < 0.2 else text))
+            n += 1
+    docs += [(n, None), (n + 1, ""), (n + 2, " \n"), (n + 3, "two words"), (n + 4, "Two\tWords"), (n + 5, "two words more")]
+    rng.shuffle(docs)
+    return docs
+
+
+@pytest.mark.parametrize("seed,hot,block", [(0, 32, 200_000), (1, 3, 200_000), (2, 2, 300), (3, 2, 2000)])
+def test_against_brute_force(spark, monkeypatch, seed, hot, block):
+    monkeypatch.setattr(neardup, "HOT", hot)
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rng = random.Random(seed)
+    docs = near_copies(rng, most=30 if hot < 32 else 14)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(df).collect()}
+    assert got == brute(docs)
+
+
+def test_forest_spans_the_components():
+    rng = random.Random(7)
+    docs = [(d, t) for d, t in near_copies(rng, 8, 25) if word_set(t)]
+    sets = [neardup.shingles(t) for _, t in docs]
+    links = neardup.forest([d for d, _ in docs], sets, 75)
+    comp = {d: d for d, _ in docs}
+    for a, b in links:
+        x, y = comp[a], comp[b]
+        assert x != y  # a forest
+        comp = {d: min(x, y) if c in (x, y) else c for d, c in comp.items()}
+    want = brute(docs)
+    assert comp == {d: want[d][1] for d, _ in docs}
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(i, i + 1) for i in range(1000, 1100)] + [(2000, i) for i in range(2001, 2300)]
+    near = defaultdict(set)
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    want, seen = {}, set()
+    for s in sorted(near):
+        if s not in seen:
+            todo, seen = [s], seen | {s}
+            while todo:
+                x = todo.pop()
+                want[x] = s
+                todo += [y for y in near[x] if y not in seen]
+                seen |= near[x]
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(6)).collect()}
+    assert got == {x: s for x, s in want.items() if x != s}
+
+
+def test_awkward(spark, awkward, awkward_rows, empty):
+    want = brute(list({d: t for d, t, *_ in awkward_rows}.items()))
+    rows = neardup.near_duplicates(awkward).collect()
+    assert len(rows) == len(awkward_rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in rows} == want
+    assert neardup.near_duplicates(empty).count() == 0
+
+
+def test_null_ids_are_kept(spark):
+    rows = neardup.near_duplicates(spark.createDataFrame([(None, "a b c"), (None, "a b c"), (5, "a b c")], "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id or -1, r.kept) for r in rows) == [(-1, True), (-1, True), (5, True)]

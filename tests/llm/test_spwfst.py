@@ -1,0 +1,100 @@
+import itertools
+import math
+import random
+import zlib
+from array import array
+from collections import Counter
+
+import pytest
+import sentencepiece
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from siftprint.llm import spwfst
+
+
+@pytest.fixture(scope="module")
+def library():
+    return sentencepiece.SentencePieceProcessor(model_file=spwfst.model_path())
+
+
+PARTS = ["a", "the", "in", "ing", "er", "tion", " ", "  ", "    ", "\n", "\t", "é", "日本", "🙂", "▁", "<s>", "<0x41>", "<unk>", "1", "2024", ".", "...", ",%%%", "ß", "́", "\x00", "\x7f", "'s"]
+
+
+@given(st.lists(st.sampled_from(PARTS), max_size=14).map("".join))
+@settings(max_examples=400, deadline=None)
+def test_is_the_library(library, text):
+    t = spwfst.transducer(spwfst.model_path())
+    packed = t.encode([text])[0]
+    assert memoryview(packed).cast("I").tolist() == library.encode(text)
+    assert t.decode(packed) == library.decode(library.encode(text))
+
+
+def test_decodes_any_ids(library):
+    t, rng = spwfst.transducer(spwfst.model_path()), random.Random(1)
+    for _ in range(200):
+        ids = [rng.choice([0, 1, 2, rng.randrange(3, 259), rng.randrange(259, 32000)]) for _ in range(rng.randint(0, 8))]
+        if ids and ids[0] in (1, 2):
+            continue
+        got = t.decode(array("I", ids).tobytes())
+        assert got.isprintable() or got  # defined for all
+    assert t.decode(b"") == ""
+
+
+def test_stable_is_what_merging_does():
+    t, rng = spwfst.transducer(spwfst.model_path()), random.Random(2)
+    pieces = list(t.derived)
+    for _ in range(3000):
+        a, b = rng.choice(pieces), rng.choice(pieces)
+        symbols = list(a + b)
+        while True:
+            best = max(((t.score[x + y], -i) for i, (x, y) in enumerate(itertools.pairwise(symbols)) if x + y in t.score), default=None)
+            if best is None:
+                break
+            i = -best[1]
+            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+        assert t.stable(a, b) == (symbols == [a, b])
+
+
+def test_unigram_is_the_best_of_all_paths():
+    rng = random.Random(3)
+    pieces = [("<unk>", 0.0, spwfst.UNKNOWN)] + [(p, -rng.random() * 10, spwfst.NORMAL) for p in ("a", "b", "▁", "ab", "ba", "▁a", "aba", "bb", "▁ab")]
+    t = spwfst.Transducer(pieces, spwfst.UNIGRAM, False)
+    score = {p: s for p, s, _ in pieces[1:]}
+    floor = min(score.values()) - 10
+
+    def best(word):
+        if not word:
+            return 0.0
+        return max((score.get(word[:n], floor if n == 1 else -math.inf) + best(word[n:]) for n in range(1, len(word) + 1)), default=0.0)
+
+    for _ in range(200):
+        word = "▁" + "".join(rng.choices("abc", k=rng.randint(0, 8)))
+        ids = t.path(word)
+        total = sum(pieces[i][1] if i else floor for i in ids)
+        assert total == pytest.approx(best(word))
+
+
+def test_refuses_what_it_cannot_do():
+    with pytest.raises(ValueError):
+        spwfst.Transducer([("a▁b", 0.0, spwfst.NORMAL)], spwfst.UNIGRAM, False)
+    with pytest.raises(ValueError):
+        spwfst.Transducer([("x", 0.0, spwfst.USER_DEFINED)], spwfst.MERGES, False)
+
+
+def check(rows, docs, library):
+    want = Counter()
+    for doc, text in docs:
+        ids = library.encode(text or "")
+        raw = library.decode(ids).encode()
+        want[doc, len(ids), zlib.crc32(array("I", ids).tobytes()), len(raw), zlib.crc32(raw), raw.decode() == (text or "")] += 1
+    assert Counter(map(tuple, rows)) == want
+
+
+def test_tables(spark, small, awkward, awkward_rows, empty, library):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    check(spwfst.round_trip(docs).collect(), [tuple(r) for r in docs.collect()], library)
+    check(spwfst.round_trip(awkward).collect(), [(d, t) for d, t, *_ in awkward_rows], library)
+    assert spwfst.round_trip(empty).count() == 0
+    back = spwfst.decode(spwfst.encode(docs))
+    assert Counter(map(tuple, back.collect())) == Counter(map(tuple, docs.collect()))
