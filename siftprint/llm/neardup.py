@@ -250,7 +250,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     in_blocks = _block_rows(prefix, lists, common).groupBy("v", "i", "j").applyInArrow(_block_links(percent), "a long, b long")
 
     links = _confirm(cand, nodes, docs, words, percent, k).unionByName(in_blocks)
-    comp = components(links, "near-components")
+    # written first: else a task would run two Python workers, one for the blocks and one for the forest
+    comp = components(shared.table(links, "near-links"), "near-components")
     classes = nodes.select("key", "n", "node").join(comp, "node", "left").select("key", "n", F.coalesce("component", "node").alias("component"))
     out = rows.select("doc_id", "n", "key").join(classes, ["key", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
