@@ -61,7 +61,7 @@ class Bands:
             v = band_value(hash_col, lo, width)
             if spread and self.radius:
                 near = F.array(*[F.lit(x).cast("long") for x in masks(width, self.radius)])
-                values = F.transform(near, lambda x, v=v: v.bitwiseXOR(x))
+                values = F.transform(near, v.bitwiseXOR)
             else:
                 values = F.array(v)
             rows.append(F.struct(F.lit(i).alias("band"), values.alias("values")))
