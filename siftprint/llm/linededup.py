@@ -109,7 +109,8 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     again = wins.groupBy("fp", "win").agg(F.count("*").alias("c")).where("c > 1").select("fp", "win")
     met = shared.table(wins.join(again, ["fp", "win"]), "line-met")
     place = F.struct("doc_id", "th", "first", "last", "before", "after")
-    anchor = met.groupBy("fp", "win").agg(F.min(place).alias("a"))
+    # written, so that the join below is one of two plain shuffles, of which a skewed one can be split
+    anchor = shared.table(met.groupBy("fp", "win").agg(F.min(place).alias("a")), "line-anchors")
     m = met.join(anchor, ["fp", "win"])
     same_doc = (F.col("doc_id") == F.col("a.doc_id")) & (F.col("th") == F.col("a.th"))
     m = m.where(~(same_doc & (F.col("first") == F.col("a.first"))))
