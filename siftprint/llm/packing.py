@@ -14,7 +14,9 @@ After a best-fit pass no two sequences of a node fit together, so at most one of
 them is half empty or more.  At most one sequence of each node can therefore still
 move into one of another node, and a node passes on only its ``carry`` emptiest
 sequences: more than can take a sequence up.  The others are finished, not dropped,
-and what a task of the tree holds is bounded by ``fan_in * carry`` sequences.
+and what a task of the tree holds is bounded by ``fan_in * carry`` sequences.  Where a node's
+underfull sequences hold few pieces (``REOPEN``; a small partition), they are taken apart
+and their pieces go up as items of their own, for a better fit.
 
 Each level is written to the shared folder before the next one reads it, so a task
 that runs again meets the same sequences.
@@ -46,6 +48,8 @@ _NODE = SCHEMA + ", fill long, node int, done boolean"
 SLACK = 0.01
 #: Pieces that a task packs at a time; a partition with more is packed in several rounds.
 TASK_PIECES = 400_000
+#: Pieces in a node's underfull sequences up to which these are taken apart.
+REOPEN = 4096
 #: Documents' text that is encoded at a time, in bytes.
 ENCODE_BYTES = 2_000_000
 
@@ -75,12 +79,14 @@ def best_fit(sizes: list[int], room: int) -> list[list[int]]:
     return bins
 
 
-def _emit(packed: list[list[int]], fills: list[int], room: int, carry: int, last: bool) -> list[bool]:
-    """Which of the packed bins are finished."""
+def _emit(bins: list[list[tuple]], fills: list[int], room: int, carry: int, last: bool) -> tuple[list[bool], bool]:
+    """Which of the packed bins are finished, and whether the others are taken apart."""
     full = [last or f >= room * (1 - SLACK) for f in fills]
     open_ = [b for b, done in enumerate(full) if not done]
+    if sum(len(bins[b]) for b in open_) <= REOPEN:
+        return full, True
     keep = set(heapq.nsmallest(carry, open_, key=fills.__getitem__))
-    return [done or b not in keep for b, done in enumerate(full)]
+    return [done or b not in keep for b, done in enumerate(full)], False
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -93,11 +99,15 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def _rows(bins: list[list[tuple]], fan_in: int, node: int, room: int, carry: int, last: bool, first_id: int) -> Iterator[pa.RecordBatch]:
     """bins: the members of each, with their places; see pack()."""
     fills = [sum(m[3] for m in members) for members in bins]
-    done = _emit(bins, fills, room, carry, last)
-    out = []
+    done, apart = _emit(bins, fills, room, carry, last)
+    out, single = [], first_id + len(bins)
     for b, members in enumerate(bins):
         for m in members:
-            out.append((*m[:5], first_id + b, m[5], fills[b], node // fan_in, done[b]))
+            if apart and not done[b]:
+                out.append((*m[:5], single, 0, m[3], node // fan_in, False))
+                single += 1
+            else:
+                out.append((*m[:5], first_id + b, m[5], fills[b], node // fan_in, done[b]))
         if len(out) >= 50_000:
             yield _batch(out)
             out = []
@@ -120,7 +130,7 @@ def _leaves(path: str, length: int, end_id: int, id_col: str, text_col: str, fan
                     at += pieces[i][3]
                 bins.append(row)
             first = (part << 36) + made
-            made += len(bins)
+            made += len(bins) + len(pieces)
             pieces.clear()
             return _rows(bins, fan_in, part, length, carry, False, first)
 
