@@ -124,24 +124,24 @@ def host_verdicts(failed: DataFrame, host_limit: float, flat_strength: float) ->
     for r in RULES:
         rate = F.col(r) / F.col("n")
         moments += [(F.sum(r) / F.sum("n")).alias(f"m_{r}"), F.var_pop(rate).alias(f"v_{r}"), F.avg(1 / F.col("n")).alias(f"i_{r}")]
-    prior = hosts.agg(*moments)  # one row
-    h = hosts.crossJoin(F.broadcast(prior))
+    prior = hosts.agg(*moments).first()  # one row
     rates, over = [], []
     for r in RULES:
-        m = F.col(f"m_{r}")
+        m = prior[f"m_{r}"] or 0.0
         spread = m * (1 - m)
-        between = F.col(f"v_{r}") - spread * F.col(f"i_{r}")  # without what chance adds
-        strength = F.when((between > 0) & (spread > between), spread / between - 1).otherwise(F.lit(flat_strength))
+        between = (prior[f"v_{r}"] or 0.0) - spread * (prior[f"i_{r}"] or 0.0)  # without what chance adds
+        strength = spread / between - 1 if 0 < between < spread else flat_strength
         rate = (F.col(r) + m * strength) / (F.col("n") + strength)
         rates.append(rate.alias(f"rate_{r}"))
         over.append(rate - (host_limit + (1 - host_limit) * m))
-    return h.select("host", *rates, (F.greatest(*over) > 0).alias("host_failed"))
+    return hosts.select("host", *rates, (F.greatest(*over) > 0).alias("host_failed"))
 
 
 def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 50, repeat_percent: int = 50, host_limit: float = 0.5, flat_strength: float = 20.0) -> DataFrame:
     """Counts and verdicts of each row: base_failed, and kept by document and host."""
     failed = shared.table(failures(base_counts(docs, id_col, text_col, host_col), min_words, repeat_percent), "quality")
-    hosts = host_verdicts(failed, host_limit, flat_strength).select("host", "host_failed")
+    # written, so that its size is known: it goes to every task only if it is small
+    hosts = shared.table(host_verdicts(failed, host_limit, flat_strength).select("host", "host_failed"), "quality-hosts")
     out = failed.join(hosts, "host", "left")
     return out.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & ~F.coalesce("host_failed", F.lit(False))).alias("kept"))
 
