@@ -1,10 +1,13 @@
-"""The queries of this subpackage and their SQL where it can express them."""
+"""The queries of this subpackage; oracle.py has SQL for those that it can express."""
 
 from __future__ import annotations
 
 from . import langid, linededup, mpeg, neardup, packing, quality, spwfst, tokencount, tokenorc, warc
+from .oracle import oracle_sql
 from .shared import documents
 
+__all__ = ["oracle_sql", "queries"]
+
 
 def op1_best_fit_packing(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir))
@@ -48,7 +51,3 @@ def op10_token_counts(spark, sf_dir):
 
 def queries():
     return {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_sentencepiece, op4_language_id, op5_mpeg_audio, op6_minhash_near_dedup, op7_warc, op8_quality_rules, op9_token_orc, op10_token_counts)}
-
-
-def oracle_sql():
-    return {"op7_warc": warc.SQL, "op8_quality_rules": quality.SQL}

@@ -1,0 +1,42 @@
+from collections import Counter
+
+import duckdb
+import pytest
+
+from siftprint.llm import queries
+
+TABLES = ("documents", "pages")
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_are_their_sql(spark, small, name):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
+    rel = con.sql(queries.oracle_sql()[name])
+    want = Counter(map(tuple, rel.fetchall()))
+    got = queries.queries()[name](spark, small)
+    assert sorted(got.columns) == sorted(rel.columns)
+    assert Counter(map(tuple, got.select(*rel.columns).collect())) == want
+
+
+def test_one_query_each():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+
+
+def test_contracts(spark, small):
+    """The columns that are fixed, with their types."""
+    want = {
+        "op1_": "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
+        "op5_": "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string",
+        "op6_": "doc_id bigint, n_shingles bigint, component_id bigint, kept boolean",
+        "op7_": "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint",
+        "op8_": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
+        "op9_": "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
+        "op10_": "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean",
+    }
+    for name, query in queries.queries().items():
+        for start, columns in want.items():
+            if name.startswith(start):
+                have = dict(query(spark, small).dtypes)
+                assert {c.split()[0]: have[c.split()[0]] for c in columns.split(", ")} == dict(c.split() for c in columns.split(", "))
