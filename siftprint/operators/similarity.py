@@ -140,7 +140,7 @@ def nearest(queries: DataFrame, index: DataFrame, first_t: int = 7) -> DataFrame
         key = F.struct(hamming("qh", "hh").alias("distance"), hash_hex("hh").alias("hx"), F.col("hh").alias("hh"))
         return pairs.groupBy("qh").agg(F.min(key).alias("b"))
 
-    near = best(_join_hashes(qs, hs, first_t, "auto"))
+    near = best(_join_hashes(qs, hs, first_t, "auto")).persist()  # read twice; a row a query
     far = best(_compare_all(qs.join(near, "qh", "left_anti"), hs))
     found = near.unionByName(far).select("qh", F.col("b.hh").alias("hh"), F.col("b.distance").alias("distance"))
     return q.join(found, "qh").join(h, "hh").select("query_id", "match_id", F.col("hh").alias("hash"), "distance")

@@ -107,12 +107,13 @@ def pixel_histogram(spark, sf_dir):
 
 
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return phash.phash(fixtures.documents(spark, sf_dir)).select("id", F.col("hash64").alias("hash"))
+    """The documents' hashes, kept: a search reads them several times, 16 bytes a row."""
+    return phash.phash(fixtures.documents(spark, sf_dir)).select("id", F.col("hash64").alias("hash")).persist()
 
 
 def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = fixtures.text_images(table(spark, sf_dir, "benchmark"), "item_id", "text")
-    return phash.phash(images).select("id", F.col("hash64").alias("hash"))
+    return phash.phash(images).select("id", F.col("hash64").alias("hash")).persist()
 
 
 def hamming_pairs(spark, sf_dir):
