@@ -71,6 +71,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages and the log-probabilities of the slots under each; docs: doc_id, declared, text."""
     labelled = docs.where("declared IS NOT NULL AND doc_id IS NOT NULL")
     order = F.xxhash64(F.col("doc_id"), F.lit("sample"))
+    n = labelled.count()
+    if n > 4 * sample:  # about 4 * sample rows have hashes this small: else each task would send as many as the sample
+        labelled = labelled.where(order < int(2**64 * (4 * sample / n) - 2**63))
     ids = [r[0] for r in labelled.select("doc_id").orderBy(order, "doc_id").limit(sample).collect()]
     rows = labelled.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")), "doc_id", "left_semi")
     got = rows.select("declared", "text").mapInArrow(_count, "declared string, slot long, n long").groupBy("declared", "slot").agg(F.sum("n").alias("n"))
@@ -150,10 +153,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     rows = shared.table(rows.withColumn("best", _best(F.col("text_ll"), langs)), "langid")
 
     k = len(langs)
-    corpus = rows.where("n > 0").agg(F.array(*[F.count(F.when(F.col("best") == x, 1)).cast("double") for x in langs]).alias("all_c"))  # one row
+    corpus = rows.where("n > 0").agg(*[F.count(F.when(F.col("best") == x, 1)) for x in langs]).first()  # one row
     smooth = lambda own, up: F.transform(F.zip_with(own, up, lambda c, p: c + strength * p), lambda x: x / (_total(own) + strength))
     none = F.array(*[F.lit(0.0)] * k)
-    p = rows.join(F.broadcast(corpus))
+    p = rows.withColumn("all_c", F.array(*[F.lit(float(c)) for c in corpus]))
     for key in ("declared", "suffix", "parent", "host"):
         p = p.join(_counts(rows, key, langs), key, "left")
     p = p.withColumn("p_all", F.transform("all_c", lambda x: (x + 1) / (_total(F.col("all_c")) + k)))
