@@ -21,6 +21,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def _keep(docs: DataFrame, verdicts: DataFrame, *more) -> DataFrame:
     """The rows of docs whose doc_id is kept by verdicts (doc_id, kept), with more columns of theirs."""
     one = verdicts.groupBy("doc_id").agg(F.max("kept").alias("kept_"), *more).where("kept_").withColumnRenamed("doc_id", "id_")
+    docs = docs.select(*COLUMNS)
     return docs.join(one, docs["doc_id"].eqNullSafe(one["id_"]))
 
 
