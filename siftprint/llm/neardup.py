@@ -47,7 +47,7 @@ K = 64
 HOT = 32
 COLD = 24
 #: Shingles in a block of a long list.
-BLOCK = 200_000
+BLOCK = 100_000
 ESTIMATE = 0.45
 
 _HASH = xxhash.xxh3_64_intdigest
@@ -130,19 +130,20 @@ def _full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return shared.table(sets.join(ids.withColumnRenamed("doc_id", "node"), "node", "left_semi").dropDuplicates(["node"]), "near-sets")
 
 
-def forest(nodes: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that span the components of the nodes, each confirmed on the sets.
+def forest(nodes: list[int], sets: list[np.ndarray], percent: int, comps: list[int] | None = None, pivots: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links between the nodes' components, each confirmed on the sets: enough to join all that are linked.
 
-    A few pivots gather a core; then every node outside the largest component is
-    compared with all nodes of other components, so no link between components is
-    missed, and pairs inside the core are not compared.
+    comps: the components so far; without them each node is its own.  pivots: the places of
+    the nodes to compare with all others of other components; without them, a few pivots
+    gather a core, and then every node outside the largest component is one, so that no link
+    between components is missed and pairs inside the core are not compared.
     """
     n = len(nodes)
     sizes = np.array([len(s) for s in sets])
     values, ids = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    comp = np.arange(n)
-    count = np.ones(n, int)
+    comp = np.arange(n) if comps is None else np.unique(np.array(comps), return_inverse=True)[1]
+    count = np.bincount(comp, minlength=n)
     mark = np.zeros(len(values), np.int32)
     out: list[tuple[int, int]] = []
 
@@ -159,6 +160,10 @@ def forest(nodes: list[int], sets: list[np.ndarray], percent: int) -> list[tuple
                 count[new] += count[old]
                 comp[comp == old] = new
 
+    if pivots is not None:
+        for p in pivots:
+            pivot(p)
+        return out
     first = sorted({i * n // 8 for i in range(8)})
     for p in first:
         pivot(p)
@@ -169,16 +174,33 @@ def forest(nodes: list[int], sets: list[np.ndarray], percent: int) -> list[tuple
     return out
 
 
+def _links_table(links: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+
 def _block_links(percent: int):
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        nodes = group.column("node").to_pylist()
-        by = {x: i for i, x in enumerate(nodes)}  # a node once
+        by = {x: i for i, x in enumerate(group.column("node").to_pylist())}  # a node once
         lists = group.column("set")
         order = sorted(by)
+        return _links_table(forest(order, [lists[by[x]].values.to_numpy() for x in order], percent) if len(order) > 1 else [])
+
+    return run
+
+
+def _outside_links(percent: int):
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        by, outside = {}, set()
+        for i, (x, out) in enumerate(zip(group.column("node").to_pylist(), group.column("outside").to_pylist(), strict=True)):
+            by[x] = i
+            if out:
+                outside.add(x)
+        lists, comps = group.column("set"), group.column("comp")
+        order = sorted(by)
         sets = [lists[by[x]].values.to_numpy() for x in order]
-        links = forest(order, sets, percent) if len(order) > 1 else []
-        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+        return _links_table(forest(order, sets, percent, [comps[by[x]].as_py() for x in order], [k for k, x in enumerate(order) if x in outside]))
 
     return run
 
@@ -193,7 +215,8 @@ def _pairs(postings: DataFrame) -> DataFrame:
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     """v, node, n: for each node the rarest shingles of its set, as many as a linked node must meet."""
     flat = sets.select("node", F.size("set").cast("long").alias("n"), F.explode("set").alias("v"))
-    df = flat.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
+    # written, so that the join below is one of two plain shuffles, of which a skewed one can be split
+    df = shared.table(flat.groupBy("v").agg(F.count("*").alias("c")).where("c > 1"), "near-counts")
     shared_ = flat.join(df, "v")
     length = F.expr(f"n - (({percent} * n + 99) div 100) + 1")
     # shingles of one node alone come first and give no candidates: they only use up the prefix
@@ -202,13 +225,32 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     return by.select("node", "n", F.explode(F.slice("cv", F.lit(1), left)).alias("x")).select(F.col("x.v").alias("v"), "node", "n")
 
 
-def _block_rows(postings: DataFrame, lists: DataFrame, sets: DataFrame) -> DataFrame:
-    """Members of the long lists, once for each pair of blocks that they belong to."""
-    long_ = lists.where(F.col("m") > HOT).select("v", F.expr(f"CAST(greatest(1, (total + {BLOCK} - 1) div {BLOCK}) AS INT)").alias("blocks"))
-    p = postings.join(long_, "v").withColumn("own", F.expr("CAST(pmod(xxhash64(node, v), blocks) AS INT)"))
-    p = p.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    p = p.select("v", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    return p.join(sets, "node")
+def _members(postings: DataFrame, lists: DataFrame) -> DataFrame:
+    """Members of the long lists: v, node, n, the number of blocks and the node's own."""
+    long_ = lists.where(F.col("m") > HOT).select("v", F.expr(f"CAST((total + {BLOCK} - 1) div {BLOCK} AS INT)").alias("blocks"))
+    return postings.join(long_, "v").withColumn("own", F.expr("CAST(pmod(xxhash64(node, v), blocks) AS INT)"))
+
+
+def _links_in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that span the components of each block of each long list."""
+    in_all = members.where("blocks > 1").groupBy("v", "blocks").agg(F.array_distinct(F.array(*[F.min_by("node", F.xxhash64("node", "v", F.lit(i))) for i in range(8)])).alias("some"))
+    in_all = in_all.select("v", F.explode("some").alias("node"), "blocks").select("v", "node", F.explode(F.expr("sequence(0, blocks - 1)")).alias("own"))
+    rows = members.select("v", "node", "own").unionByName(in_all).join(sets, "node")
+    return rows.groupBy("v", "own").applyInArrow(_block_links(percent), "a long, b long")
+
+
+def _links_across_blocks(members: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that join components of different blocks of a list: one side is outside the list's largest."""
+    m = members.where("blocks > 1").join(comp, "node", "left").select("v", "node", "n", "blocks", "own", F.coalesce("component", "node").alias("comp"))
+    m = shared.table(m, "near-members")
+    core = m.groupBy("v", "comp").agg(F.count("*").alias("c")).groupBy("v").agg(F.max_by("comp", F.struct("c", "comp")).alias("core"))
+    out = shared.table(m.join(shared.table(core, "near-cores"), "v").where("comp <> core").drop("core"), "near-outside")
+    chunks = shared.table(out.groupBy("v").agg(F.expr(f"CAST((sum(n) + {BLOCK} - 1) div {BLOCK} AS INT)").alias("chunks")), "near-chunks")
+    out = out.join(chunks, "v").withColumn("chunk", F.expr("CAST(pmod(xxhash64(node, v, 1), chunks) AS INT)"))
+    out = out.select("v", "chunk", F.explode(F.expr("sequence(0, blocks - 1)")).alias("own"), "node", "comp", F.lit(True).alias("outside"))
+    others = m.join(chunks, "v").select("v", F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"), "own", "node", "comp", F.lit(False).alias("outside"))
+    rows = out.unionByName(others).join(sets, "node")
+    return rows.groupBy("v", "chunk", "own").applyInArrow(_outside_links(percent), "a long, b long")
 
 
 def _confirm(cand: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int, k: int) -> DataFrame:
@@ -247,11 +289,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prefix = shared.table(_prefixes(common, percent), "near-prefix")
     lists = shared.table(prefix.groupBy("v").agg(F.count("*").alias("m"), F.sum("n").alias("total")).where("m > 1"), "near-lists")
     cand = cand.unionByName(_pairs(prefix.join(lists.where(F.col("m") <= HOT).select("v"), "v", "left_semi"))).distinct()
-    in_blocks = _block_rows(prefix, lists, common).groupBy("v", "i", "j").applyInArrow(_block_links(percent), "a long, b long")
+    members = _members(prefix, lists)
 
-    links = _confirm(cand, nodes, docs, words, percent, k).unionByName(in_blocks)
     # written first: else a task would run two Python workers, one for the blocks and one for the forest
-    comp = components(shared.table(links, "near-links"), "near-components")
+    links = shared.table(_confirm(cand, nodes, docs, words, percent, k).unionByName(_links_in_blocks(members, common, percent)), "near-links")
+    comp = components(links, "near-components")
+    if lists.where((F.col("m") > HOT) & (F.col("total") > BLOCK)).limit(1).count():
+        more = _links_across_blocks(members, comp, common, percent)
+        more = comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
+        comp = components(shared.table(more, "near-links"), "near-components")
     classes = nodes.select("key", "n", "node").join(comp, "node", "left").select("key", "n", F.coalesce("component", "node").alias("component"))
     out = rows.select("doc_id", "n", "key").join(classes, ["key", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

@@ -50,7 +50,7 @@ def near_copies(rng, groups=6, most=14):
     return docs
 
 
-@pytest.mark.parametrize("seed,hot,block", [(0, 32, 200_000), (1, 3, 200_000), (2, 2, 300), (3, 2, 2000)])
+@pytest.mark.parametrize("seed,hot,block", [(0, 32, 500_000), (1, 3, 500_000), (2, 2, 300), (3, 2, 2000), (4, 2, 600)])
 def test_against_brute_force(spark, monkeypatch, seed, hot, block):
     monkeypatch.setattr(neardup, "HOT", hot)
     monkeypatch.setattr(neardup, "BLOCK", block)
@@ -75,6 +75,20 @@ def test_forest_spans_the_components():
     assert comp == {d: want[d][1] for d, _ in docs}
 
 
+def test_forest_from_outside():
+    rng = random.Random(8)
+    docs = [(d, t) for d, t in near_copies(rng, 8, 25) if word_set(t)]
+    want = {d: c for d, (_, c, _) in brute(docs).items()}
+    # components so far: some nodes are with others already; all that aren't in node 0's are pivots
+    comp = {d: want[d] if rng.random() < 0.5 else d for d, _ in docs}
+    nodes = [d for d, _ in docs]
+    links = neardup.forest(nodes, [neardup.shingles(t) for _, t in docs], 75, [comp[d] for d in nodes], [i for i, d in enumerate(nodes) if comp[d] != want[nodes[0]]])
+    for a, b in links:
+        x, y = comp[a], comp[b]
+        comp = {d: min(x, y) if c in (x, y) else c for d, c in comp.items()}
+    assert comp == want
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(i, i + 1) for i in range(1000, 1100)] + [(2000, i) for i in range(2001, 2300)]
