@@ -23,7 +23,7 @@ that runs again meets the same sequences.
 
 Edge cases: a null or empty text is a document of the end id alone; a document of
 exactly ``length`` ids is one piece; equal sizes are taken in the order of doc_id
-and piece; repeated rows are packed once each; other columns are ignored; an empty
+and piece, null ids last; repeated rows are packed once each; other columns are ignored; an empty
 table gives an empty result.
 """
 
@@ -121,7 +121,7 @@ def _leaves(path: str, length: int, end_id: int, id_col: str, text_col: str, fan
 
         def packed():
             nonlocal made
-            pieces.sort(key=lambda p: (p[0], p[1]))
+            pieces.sort(key=lambda p: (p[0] is None, p[0] or 0, p[1]))
             bins = []
             for members in best_fit([p[3] for p in pieces], length):
                 at, row = 0, []

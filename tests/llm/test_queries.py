@@ -3,7 +3,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from siftprint.llm import queries
+from siftprint.llm import langid, linededup, mpeg, neardup, packing, quality, queries, spwfst, tokencount, tokenorc
 
 TABLES = ("documents", "pages")
 
@@ -40,3 +40,14 @@ def test_contracts(spark, small):
             if name.startswith(start):
                 have = dict(query(spark, small).dtypes)
                 assert {c.split()[0]: have[c.split()[0]] for c in columns.split(", ")} == dict(c.split() for c in columns.split(", "))
+
+
+def test_null_ids(spark):
+    """Rows without an id go through every operator."""
+    text = " ".join(f"word{i}" for i in range(70))
+    docs = spark.createDataFrame([(None, text, "en", None), (None, text, None, "a.b"), (None, None, None, None), (7, text, "en", "a.b")], "doc_id bigint, text string, lang string, source string")
+    assert packing.pack(docs).where("doc_id IS NULL").count() == 3
+    assert tokenorc.store_and_digest(docs).where("doc_id IS NULL").count() == 3
+    for op in (linededup.dedup_lines, spwfst.round_trip, langid.identify, lambda d: mpeg.features(mpeg.store(d)), neardup.near_duplicates, quality.apply_rules, tokencount.count):
+        rows = op(docs).collect()
+        assert sorted(r.doc_id is None for r in rows) == [False, True, True, True]
