@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftprint.llm import langid, linededup, neardup, packing, quality, shared
+from siftprint.session import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -27,6 +28,7 @@ def _keep(docs: DataFrame, verdicts: DataFrame, *more) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is certain; lang is the language found."""
+    ship(spark)
     found = langid.identify(docs)
     kept = _keep(docs, found, F.max_by("language", "probability").alias("lang_"))
     return kept.withColumn("lang", F.coalesce("lang_", "lang")).select(*COLUMNS)
@@ -34,22 +36,26 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules, on hosts that do."""
+    ship(spark)
     return _keep(docs, quality.apply_rules(docs)).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the later copies of repeated runs of lines."""
+    ship(spark)
     out = linededup.dedup_lines(docs.select(*COLUMNS))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates."""
+    ship(spark)
     return _keep(docs, neardup.near_duplicates(docs)).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' tokens, packed into sequences."""
+    ship(spark)
     return packing.pack(docs)
 
 
