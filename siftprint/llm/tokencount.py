@@ -25,13 +25,13 @@ from pyspark.sql import functions as F
 from . import shared, tokens
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
-#: Characters that go to the library at a time.
+#: Bytes that go to the library at a time.
 BATCH = 200_000
 _SAFE = re.compile(r"(?<=[!-~À-ÖØ-öø-ɏ]) (?=[!-~À-ÖØ-öø-ɏ])")
 
 
 def segments(text: str, most: int) -> Iterator[str]:
-    """``text`` in parts of about ``most`` characters, cut at safe boundaries only."""
+    """``text`` in parts of at least ``most`` characters but for the last, cut at safe boundaries only."""
     start = 0
     while len(text) - start > most:
         cut = _SAFE.search(text, start + most)

@@ -126,12 +126,13 @@ def word_encoder(path: str) -> WordEncoder:
 
 
 def by_bytes(texts: list[str], most: int) -> Iterable[tuple[int, int]]:
-    """Ranges of neighbouring texts of about ``most`` characters; at least one text each."""
+    """Ranges of neighbouring texts of about ``most`` bytes; at least one text each."""
     start = size = 0
     for i, t in enumerate(texts):
-        if i > start and size + len(t) > most:
+        n = len(t) if t.isascii() else len(t.encode())
+        if i > start and size + n > most:
             yield start, i
             start, size = i, 0
-        size += len(t)
+        size += n
     if start < len(texts):
         yield start, len(texts)
