@@ -34,20 +34,23 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], names=["u", "v"])
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges: u > v. Each node's neighbours are pointed at the least of them and itself."""
+def _star(edges: DataFrame, large: bool, what: str) -> tuple[DataFrame, DataFrame]:
+    """edges: u > v. Each node's neighbours are pointed at the least of them and itself.
+
+    Also gives the table that the result reads.
+    """
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges
     # written, so that the join is one of two plain shuffles, of which a skewed one can be split
-    least = shared.table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "components-least")
+    least = shared.table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{what}-least")
     met = both.join(least, "u")
     if large:
         out = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = met.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return out.where("u > v").distinct()
+    return out.where("u > v").distinct(), least
 
 
 def components(edges: DataFrame, what: str = "components") -> DataFrame:
@@ -56,7 +59,11 @@ def components(edges: DataFrame, what: str = "components") -> DataFrame:
     e = shared.table(e.mapInArrow(_forest, "u long, v long"), what)
     seen = None
     while True:
-        e = shared.table(_star(_star(e, True), False), what)
+        across, a = _star(e, True, what)
+        down, b = _star(across, False, what)
+        done, e = e, shared.table(down, what)
+        for t in (done, a, b):
+            shared.drop_table(t)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == seen:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))

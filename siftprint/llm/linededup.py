@@ -108,6 +108,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     wins = shared.table(docs.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(_emit(min_words), _WINDOWS), "line-windows")
     again = wins.groupBy("fp", "win").agg(F.count("*").alias("c")).where("c > 1").select("fp", "win")
     met = shared.table(wins.join(again, ["fp", "win"]), "line-met")
+    shared.drop_table(wins)
     place = F.struct("doc_id", "th", "first", "last", "before", "after")
     # written, so that the join below is one of two plain shuffles, of which a skewed one can be split
     anchor = shared.table(met.groupBy("fp", "win").agg(F.min(place).alias("a")), "line-anchors")

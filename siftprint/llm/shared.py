@@ -51,15 +51,16 @@ def table(df: DataFrame, what: str) -> DataFrame:
     """``df`` written to the shared folder and read again: the lineage ends here."""
     path = fresh_path(df.sparkSession, what) + "/table"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._shared_path = path
+    return out
 
 
 def drop_table(df: DataFrame) -> None:
     """Remove the files of a ``table`` that nothing reads any more."""
     spark = df.sparkSession
-    for f in df.inputFiles()[:1]:
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f).getParent()
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._shared_path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def file_system(uri: str):
