@@ -13,12 +13,15 @@ the full sets, and a document's class is its connected component.
    of which one has at most 3/8 hot values share at least 0.6 of its other values, so
    that they miss each other in all lists with probability 0.4 ** 24 < 1e-9.
 3. Nodes with more hot values (members of large groups, texts that are mostly common
-   passages) are searched exactly: they post the prefix of their full set, rarest
+   passages) are searched exactly: they post the prefix of their full set, rare
    shingles first, which any linked pair must share.  Lists of up to ``HOT`` members
-   give candidates as above.  A longer list is dealt out in blocks of bounded size;
-   for each pair of blocks a task confirms links on the full sets and gives back a
-   spanning forest: once a component has formed, its members are not compared among
-   themselves, and no pair is emitted that isn't a link of the forest.
+   give candidates as above.  A longer list is dealt out in blocks of bounded size, and
+   a task for each block confirms links on the full sets and gives back a spanning
+   forest: once a component has formed, its members are not compared among themselves,
+   and no pair is emitted that isn't a link of the forest.  Where a list has several
+   blocks, a few members of it are in all of them, so that its blocks' large components
+   become one.  What is then outside a list's largest component, a small part of a group
+   of copies, is compared with the list's other blocks.
 4. Candidates whose estimate from the sketch of the union (its ``K`` least values, and
    how many of them both have) is under 0.45 go; a pair at 0.75 falls below that with
    probability 1e-7.  The rest is confirmed on the full sets.
@@ -47,7 +50,7 @@ K = 64
 HOT = 32
 COLD = 24
 #: Shingles in a block of a long list.
-BLOCK = 100_000
+BLOCK = 500_000
 ESTIMATE = 0.45
 
 _HASH = xxhash.xxh3_64_intdigest
@@ -112,6 +115,11 @@ def _bloom(ids: DataFrame) -> tuple[int, np.ndarray]:
     return bits, out
 
 
+def _in_bloom(ids: np.ndarray, bits: int, bloom: np.ndarray) -> np.ndarray:
+    a, b = _slots(ids, bits)
+    return ((bloom[a >> 3] >> (a & 7).astype(np.uint8)) & (bloom[b >> 3] >> (b & 7).astype(np.uint8)) & 1).astype(bool)
+
+
 def _full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """node and set of the documents of a table of ids, without moving their texts."""
     bits, bloom = _bloom(ids)
@@ -120,9 +128,7 @@ def _full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc = batch.column(batch.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)
-            a, b = _slots(doc, bits)
-            hit = (bloom.value[a >> 3] >> (a & 7).astype(np.uint8)) & (bloom.value[b >> 3] >> (b & 7).astype(np.uint8)) & 1
-            for b in shared.slices(batch.filter(pa.array(hit.astype(bool))), "text", 4_000_000):
+            for b in shared.slices(batch.filter(pa.array(_in_bloom(doc, bits, bloom.value))), "text", 4_000_000):
                 own, texts = shared.columns(b, "doc_id", "text")
                 yield pa.RecordBatch.from_arrays([own, _lists([shingles(t, words) for t in texts.to_pylist()])], names=["node", "set"])
 
@@ -212,17 +218,52 @@ def _pairs(postings: DataFrame) -> DataFrame:
     return p.join(q, "v").where("a < b").select("a", "b")
 
 
+def _level_keys(values: np.ndarray, level: int) -> np.ndarray:
+    return _mix(values.astype(np.uint64) + np.uint64(level + 1) * _STEP).astype(np.int64)
+
+
+def _spread_levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """v, level: a key for each level up to a value's own."""
+    for b in batches:
+        v, top = (c.to_numpy(zero_copy_only=False) for c in shared.columns(b, "v", "level"))
+        keys = [_level_keys(v[top >= n], n) for n in range(int(top.max(initial=-1)) + 1)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64), pa.int64())], names=["doc_id"])
+
+
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """v, node, n: for each node the rarest shingles of its set, as many as a linked node must meet."""
-    flat = sets.select("node", F.size("set").cast("long").alias("n"), F.explode("set").alias("v"))
-    # written, so that the join below is one of two plain shuffles, of which a skewed one can be split
-    df = shared.table(flat.groupBy("v").agg(F.count("*").alias("c")).where("c > 1"), "near-counts")
-    shared_ = flat.join(df, "v")
-    length = F.expr(f"n - (({percent} * n + 99) div 100) + 1")
-    # shingles of one node alone come first and give no candidates: they only use up the prefix
-    by = shared_.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("cv"))
-    left = F.greatest(length - (F.col("n") - F.size("cv")), F.lit(0)).cast("int")
-    return by.select("node", "n", F.explode(F.slice("cv", F.lit(1), left)).alias("x")).select(F.col("x.v").alias("v"), "node", "n")
+    """v, node, n: of each node's set as many shingles as a linked node must meet, rare ones first.
+
+    Any one order of all shingles will do.  This one goes by how frequent a shingle is: not
+    at all (up to HOT nodes), or how many times a factor of 4 above that, as a Bloom filter of
+    bounded size remembers it; its errors move a shingle in the order, for all nodes alike.
+    """
+    df = sets.select(F.explode("set").alias("v")).groupBy("v").agg(F.count("*").alias("c")).where(F.col("c") > HOT)
+    level = F.floor(F.log(F.col("c") / HOT) / F.log(F.lit(4.0))).cast("long")
+    keys = shared.table(df.select("v", F.least(level, F.lit(15)).alias("level")).mapInArrow(_spread_levels, "doc_id long"), "near-levels")
+    bits, bloom = _bloom(keys)
+    bloom = sets.sparkSession.sparkContext.broadcast(bloom)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            nodes, lists = shared.columns(b, "node", "set")
+            ends = lists.offsets.to_numpy()
+            flat = lists.values.to_numpy()[ends[0] : ends[-1]]
+            levels = np.zeros(len(flat), np.int64)
+            at = np.arange(len(flat))
+            for n in range(16):
+                at = at[_in_bloom(_level_keys(flat[at], n), bits, bloom.value)]
+                if not len(at):
+                    break
+                levels[at] = n + 1
+            rows: list[np.ndarray] = []
+            for start, end in zip((ends[:-1] - ends[0]).tolist(), (ends[1:] - ends[0]).tolist(), strict=True):
+                n = end - start
+                rows.append(flat[start:end][np.lexsort((flat[start:end], levels[start:end]))[: n + (-percent * n) // 100 + 1]])
+            sizes = np.array([len(r) for r in rows], np.int64)
+            join = lambda x: pa.array(np.concatenate(x) if len(x) else np.empty(0, np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([join(rows), pa.array(np.repeat(nodes.to_numpy(), sizes), pa.int64()), pa.array(np.repeat(np.diff(ends), sizes), pa.int64())], names=["v", "node", "n"])
+
+    return sets.mapInArrow(run, "v long, node long, n long")
 
 
 def _members(postings: DataFrame, lists: DataFrame) -> DataFrame:
