@@ -47,7 +47,7 @@ from .components import components
 
 WORDS = 5
 K = 64
-HOT = 16
+HOT = 32
 COLD = 24
 #: Shingles in a block of a long list.
 BLOCK = 500_000
