@@ -1,170 +1,141 @@
 """Best-fit packing of documents into training sequences.
 
-Hierarchical residual packing.  Every document is encoded, ended by an id and cut
-into pieces of at most ``length`` ids; only longer documents are cut.  Then
-
-1. each input partition packs its own pieces by best fit, largest first, and
-   emits its nearly full sequences;
-2. the underfull sequences that are left go up a tree as items: ``fan_in``
-   neighbouring nodes meet in a task, which packs the sequences of all of them by
-   best fit again, emits those nearly full, and passes the rest on;
-3. the root emits all.
-
-After a best-fit pass no two sequences of a node fit together, so at most one of
-them is half empty or more.  At most one sequence of each node can therefore still
-move into one of another node, and a node passes on only its ``carry`` emptiest
-sequences: more than can take a sequence up.  The others are finished, not dropped,
-and what a task of the tree holds is bounded by ``fan_in * carry`` sequences.  Where a node's
-underfull sequences hold few pieces (``REOPEN``; a small partition), they are taken apart
-and their pieces go up as items of their own, for a better fit.
-
-Each level is written to the shared folder before the next one reads it, so a task
-that runs again meets the same sequences.
+Every document is encoded, ended by an id and cut into pieces of at most ``length`` ids;
+only longer documents are cut.  All pieces of the table are packed by one best fit,
+largest first, however they are dealt over partitions.  Best fit sees nothing of a piece but its size, so
+
+1. each input partition writes its pieces, numbered within their size;
+2. the driver packs the counts of the sizes (``plan``): a run of equal sequences takes a run
+   of equal pieces at a time, so its work and memory follow ``length``, not the number of pieces;
+3. each piece finds its sequence and place by its size and its number among all pieces of
+   that size, which is its partition's first number and its own.
+
+The pieces are written to the shared folder before they are counted, so a task that runs
+again meets the same numbers.
 
 Edge cases: a null or empty text is a document of the end id alone; a document of
-exactly ``length`` ids is one piece; equal sizes are taken in the order of doc_id
-and piece, null ids last; repeated rows are packed once each; other columns are ignored; an empty
+exactly ``length`` ids is one piece; equal sizes are taken in the order of partition and row;
+repeated rows are packed once each; other columns are ignored; an empty
 table gives an empty result.
 """
 
 from __future__ import annotations
 
-import heapq
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared, tokens
 
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-_NODE = SCHEMA + ", fill long, node int, done boolean"
-
-#: A sequence with at most this share of free room is emitted as nearly full.
-SLACK = 0.01
-#: Pieces that a task packs at a time; a partition with more is packed in several rounds.
-TASK_PIECES = 400_000
-#: Pieces in a node's underfull sequences up to which these are taken apart.
-REOPEN = 4096
+_PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
+
 #: Documents' text that is encoded at a time, in bytes.
 ENCODE_BYTES = 2_000_000
 
 
-def best_fit(sizes: list[int], room: int) -> list[list[int]]:
-    """Indices of ``sizes`` by bin: best fit, largest first, ties in the given order."""
-    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
-    by_room: list[list[int]] = [[] for _ in range(room + 1)]
+def plan(counts: dict[int, int], room: int) -> np.ndarray:
+    """Best fit, largest first, of so many pieces of each size.
+
+    A row for each run of pieces: size, first number, first sequence, pieces a sequence,
+    place of the first in its sequence; by size and number.
+    """
+    by_room: dict[int, list[tuple[int, int]]] = {}  # first and number of the bins in a run
     free: list[int] = []  # the rooms, sorted, for which a bin is open
-    bins: list[list[int]] = []
-    for i in order:
-        size = sizes[i]
-        at = bisect_left(free, size)
-        if at == len(free):
-            b, left = len(bins), room - size
-            bins.append([i])
-        else:
-            r = free[at]
-            b, left = by_room[r].pop(), r - size
-            if not by_room[r]:
-                free.pop(at)
-            bins[b].append(i)
-        if left:
-            if not by_room[left]:
+    made, runs = 0, []
+
+    def put(left: int, first: int, n: int) -> None:
+        if left and n:
+            if left not in by_room:
+                by_room[left] = []
                 free.insert(bisect_left(free, left), left)
-            by_room[left].append(b)
-    return bins
-
-
-def _emit(bins: list[list[tuple]], fills: list[int], room: int, carry: int, last: bool) -> tuple[list[bool], bool]:
-    """Which of the packed bins are finished, and whether the others are taken apart."""
-    full = [last or f >= room * (1 - SLACK) for f in fills]
-    open_ = [b for b, done in enumerate(full) if not done]
-    if sum(len(bins[b]) for b in open_) <= REOPEN:
-        return full, True
-    keep = set(heapq.nsmallest(carry, open_, key=fills.__getitem__))
-    return [done or b not in keep for b, done in enumerate(full)], False
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 6, pa.int32(), pa.bool_()]
-    names = [x.split()[0] for x in _NODE.split(", ")]
-    cols = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
-
-
-def _rows(bins: list[list[tuple]], fan_in: int, node: int, room: int, carry: int, last: bool, first_id: int) -> Iterator[pa.RecordBatch]:
-    """bins: the members of each, with their places; see pack()."""
-    fills = [sum(m[3] for m in members) for members in bins]
-    done, apart = _emit(bins, fills, room, carry, last)
-    out, single = [], first_id + len(bins)
-    for b, members in enumerate(bins):
-        for m in members:
-            if apart and not done[b]:
-                out.append((*m[:5], single, 0, m[3], node // fan_in, False))
-                single += 1
+            by_room[left].append((first, n))
+
+    for size in sorted(counts, reverse=True):
+        done = 0
+        while done < counts[size]:
+            todo, at = counts[size] - done, bisect_left(free, size)
+            if at == len(free):
+                r, first, n = room, made, -(-todo // (room // size))
+                made += n
             else:
-                out.append((*m[:5], first_id + b, m[5], fills[b], node // fan_in, done[b]))
-        if len(out) >= 50_000:
-            yield _batch(out)
-            out = []
-    yield _batch(out)
+                r = free[at]
+                first, n = by_room[r].pop()
+                if not by_room[r]:
+                    del by_room[r], free[at]
+            each = r // size  # a bin that took one is the fullest that takes the next
+            full = min(n, todo // each)
+            rest = todo - full * each if full < n else 0
+            runs.append((size, done, first, each, room - r))
+            put(r - each * size, first, full)
+            put(r - rest * size, first + full, 1 if rest else 0)
+            put(r, first + full + (rest > 0), n - full - (rest > 0))
+            done += full * each + rest
+    return np.array(sorted(runs), np.int64).reshape(-1, 5)
+
+
+def place(runs: np.ndarray, sizes: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sequence and place of pieces by their sizes and their numbers among all of that size."""
+    at = np.empty(len(sizes), np.int64)
+    for size in np.unique(sizes):
+        a, z = np.searchsorted(runs[:, 0], [size, size + 1])
+        own = sizes == size
+        at[own] = a - 1 + np.searchsorted(runs[a:z, 1], numbers[own], "right")
+    _, start, first, each, place = runs[at].T
+    k = numbers - start
+    return first + k // each, place + k % each * sizes
 
 
-def _leaves(path: str, length: int, end_id: int, id_col: str, text_col: str, fan_in: int, carry: int):
+def best_fit(sizes: list[int], room: int) -> list[list[int]]:
+    """Indices of ``sizes`` by bin: best fit, largest first, ties in the given order."""
+    counts: dict[int, int] = {}
+    numbers = []
+    for size in sizes:
+        numbers.append(counts.get(size, 0))
+        counts[size] = numbers[-1] + 1
+    seq, at = place(plan(counts, room), np.array(sizes, np.int64), np.array(numbers, np.int64))
+    bins: dict[int, list[int]] = {}
+    for i in np.lexsort((at, seq)).tolist():
+        bins.setdefault(int(seq[i]), []).append(i)
+    return list(bins.values())
+
+
+def _pieces(path: str, length: int, end_id: int, id_col: str, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, pieces, made = TaskContext.get().partitionId(), [], 0
+        part, numbers = TaskContext.get().partitionId(), {}
         enc, end = tokens.word_encoder(path), end_id.to_bytes(4, "little")
-
-        def packed():
-            nonlocal made
-            pieces.sort(key=lambda p: (p[0] is None, p[0] or 0, p[1]))
-            bins = []
-            for members in best_fit([p[3] for p in pieces], length):
-                at, row = 0, []
-                for i in members:
-                    row.append((*pieces[i], at))
-                    at += pieces[i][3]
-                bins.append(row)
-            first = (part << 36) + made
-            made += len(bins) + len(pieces)
-            pieces.clear()
-            return _rows(bins, fan_in, part, length, carry, False, first)
-
+        kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 3, pa.int32(), pa.int64()]
         for batch in batches:
             for b in shared.slices(batch, text_col, ENCODE_BYTES):
                 ids, texts = (c.to_pylist() for c in shared.columns(b, id_col, text_col))
+                rows = []
                 for doc, packed_ids in zip(ids, enc.encode(texts), strict=True):
                     packed_ids += end
                     for k, at in enumerate(range(0, len(packed_ids), 4 * length)):
                         own = packed_ids[at : at + 4 * length]
-                        pieces.append((doc, k, at // 4, len(own) // 4, zlib.crc32(own)))
-                if len(pieces) >= TASK_PIECES:
-                    yield from packed()
-        yield from packed()
+                        n = len(own) // 4
+                        nth = numbers.get(n, 0)
+                        numbers[n] = nth + 1
+                        rows.append((doc, k, at // 4, n, zlib.crc32(own), part, nth))
+                cols = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in _PIECES.split(", ")])
 
     return run
 
 
-def _merge(length: int, fan_in: int, carry: int, last: bool, level: int):
-    def run(table: pa.Table) -> pa.Table:
-        cols = [table.column(i).to_pylist() for i in range(table.num_columns)]
-        node, bins = cols[8][0], {}
-        for doc, piece, start, n, crc, seq, offset in zip(*cols[:7], strict=True):
-            bins.setdefault(seq, []).append((doc, piece, start, n, crc, offset))
-        bins = [sorted(bins[s], key=lambda m: m[5]) for s in sorted(bins)]
-        new = []
-        for members in best_fit([sum(m[3] for m in b) for b in bins], length):
-            at, row = 0, []
-            for i in members:
-                row += [(*m[:5], at + m[5]) for m in bins[i]]
-                at += sum(m[3] for m in bins[i])
-            new.append(row)
-        first = (level << 58) + (node << 36)
-        return pa.Table.from_batches(_rows(new, fan_in, node, length, carry, last, first))
+def _placed(runs):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size, nth, before = (c.to_numpy() for c in shared.columns(b, "length", "nth", "before"))
+            places = [pa.array(x, pa.int64()) for x in place(runs.value, size, before + nth)]
+            names = [x.split()[0] for x in SCHEMA.split(", ")]
+            yield pa.RecordBatch.from_arrays([*shared.columns(b, *names[:5]), *places], names=names)
 
     return run
 
@@ -173,21 +144,14 @@ def pack(docs: DataFrame, path: str | None = None, length: int = 2048, end_id: i
     """A row for each piece of each document, with its sequence and its place there.
 
     sequence_id is unique for a sequence and otherwise arbitrary; the places of a
-    sequence are gapless from 0.
+    sequence are gapless from 0.  ``fan_in`` and ``carry`` change nothing: there is one best fit.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    leaves = docs.mapInArrow(_leaves(path or tokens.word_tokenizer_path(), length, end_id, "doc_id", "text", fan_in, carry), _NODE)
-    done, level = [], 0
-    at = shared.table(leaves, "pack")
-    nodes = (at.agg(F.max("node")).first()[0] or 0) + 1
-    while True:
-        done.append(at.where("done"))
-        if level and last:
-            break
-        last, level = nodes == 1, level + 1
-        at = shared.table(at.where("not done").groupBy("node").applyInArrow(_merge(length, fan_in, carry, last, level), _NODE), "pack")
-        nodes = -(-nodes // fan_in)
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out.select(*[x.split()[0] for x in SCHEMA.split(", ")])
+    pieces = docs.mapInArrow(_pieces(path or tokens.word_tokenizer_path(), length, end_id, "doc_id", "text"), _PIECES)
+    pieces = shared.table(pieces, "pack")
+    of_part = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
+    counts = {r["length"]: r["n"] for r in of_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``length`` rows
+    earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = of_part.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    runs = docs.sparkSession.sparkContext.broadcast(plan(counts, length))
+    return pieces.join(before, ["part", "length"]).mapInArrow(_placed(runs), SCHEMA)

@@ -1,14 +1,18 @@
 import random
 import zlib
 from array import array
+from bisect import bisect_left, insort
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from siftprint.llm import packing, tokencount, tokenorc, tokens
 
+from .conftest import WORDS
+
 
 def library_ids(path, text):
     return tokens.tokenizer(path).encode(text or "", add_special_tokens=False).ids
@@ -67,6 +71,52 @@ def test_best_fit(sizes):
     assert len(bins) <= 11 / 9 * max(1, -(-sum(sizes) // 100)) * 1.5 + 1
 
 
+def fewest(sizes, room):
+    """Number of bins of best fit, largest first, piece by piece."""
+    free, n = [], 0
+    for size in sorted(sizes, reverse=True):
+        at = bisect_left(free, size)
+        if at == len(free):
+            n += 1
+            left = room - size
+        else:
+            left = free.pop(at) - size
+        insort(free, left)
+    return n
+
+
+@given(st.dictionaries(st.integers(1, 100), st.integers(1, 60), max_size=30))
+@settings(max_examples=200, deadline=None)
+def test_plan_is_best_fit(counts):
+    runs = packing.plan(counts, 100)
+    sizes = np.array([s for s, n in counts.items() for _ in range(n)], np.int64)
+    numbers = np.array([k for n in counts.values() for k in range(n)], np.int64)
+    ends = {}
+    for seq, at, size in sorted(zip(*(x.tolist() for x in packing.place(runs, sizes, numbers)), sizes.tolist())):
+        assert at == ends.get(seq, 0)
+        ends[seq] = at + size
+    assert max(ends.values(), default=0) <= 100
+    assert len(ends) == fewest(sizes.tolist(), 100)
+
+
+def pack_of_sizes(spark, sizes, length):
+    """Sequences that pack() makes of documents of so many ids, by partition, and those of one best fit."""
+    word = next(w for w in WORDS if len(library_ids(tokens.word_tokenizer_path(), f"{w} {w}")) == 2)
+    rows = [(p << 32 | i, " ".join([word] * (n - 1))) for p, part in enumerate(sizes) for i, n in enumerate(part)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 1), "doc_id bigint, text string")
+    docs = docs.repartitionByRange(len(sizes), "doc_id").sortWithinPartitions("doc_id")
+    got = packing.pack(docs, length=length)
+    assert sorted(r.length for r in got.select("length").collect()) == sorted(n for part in sizes for n in part)
+    return got.select("sequence_id").distinct().count(), fewest([n for part in sizes for n in part], length)
+
+
+def test_pack_of_rows_clustered_by_length(spark):
+    rng = random.Random(6)
+    sizes = sorted(rng.randint(1, 63) for _ in range(48_000))
+    got, want = pack_of_sizes(spark, [sizes[i : i + 8000] for i in range(0, len(sizes), 8000)], 64)
+    assert got == want
+
+
 def check_packing(rows, docs, length, path, end=0):
     pieces = Counter()
     for doc, text in docs:
