@@ -117,6 +117,14 @@ def test_pack_of_rows_clustered_by_length(spark):
     assert got == want
 
 
+def test_pack_of_large_partitions_beside_small_pieces(spark):
+    rng = random.Random(7)
+    large = [[rng.randint(34, 47) for _ in range(6000)] for _ in range(2)]
+    small = [[rng.randint(27, 30) for _ in range(3000)] for _ in range(2)]
+    got, want = pack_of_sizes(spark, [*large, *small], 64)
+    assert got == want
+
+
 def check_packing(rows, docs, length, path, end=0):
     pieces = Counter()
     for doc, text in docs:
