@@ -12,10 +12,16 @@ decisions as counts:
   towards the whole corpus, with ``STRENGTH`` pseudo-documents at each step.
 
 All add up in logarithms; the posterior's maximum is the language.  A document is
-rejected if it has no letters, or if no language reaches the probability ``certain``.
+rejected if it has no letters, if no language reaches the probability ``certain``, or if
+no language explains its text.  A language explains a text whose mean log-likelihood a
+triple lies above the middle between two means: that of labelled documents under a model
+fitted without them (the sample is cut in two for that), and that of triples which no
+language has.  This doesn't depend on the text's size.
 
 Edge cases: null and empty texts have no letters, get the prior's language and are
-rejected; without a declared language, suffix or host that evidence is left out; with no
+rejected; texts of fewer than ``FIT_TRIPLES`` triples (a name or two) are too short to
+ask whether they are explained; a language with documents in one half of the sample only
+explains all that it is the likeliest of; without a declared language, suffix or host that evidence is left out; with no
 declared language anywhere there is nothing to fit, the language is null and nothing
 with letters is rejected; equal posteriors go to the first language by name; repeated
 rows count once each; other columns are ignored; an empty table gives an empty result.
@@ -40,6 +46,8 @@ SLOTS = 1 << 16
 STRENGTH = 50.0
 #: Neighbouring triples overlap; this share of their log-likelihood counts.
 WEIGHT = 1 / 3
+#: Triples from which on a text must be explained by a language.
+FIT_TRIPLES = 20
 
 _LOW = np.frombuffer(bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)), np.uint8)
 
@@ -53,22 +61,39 @@ def triples(data: bytes) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[str, np.ndarray] = {}
+    total: dict[tuple[str, int], np.ndarray] = {}
     for b in batches:
-        for lang, text in zip(*(c.to_pylist() for c in shared.columns(b, "declared", "text")), strict=True):
-            total[lang] = total.get(lang, 0) + np.bincount(triples((text or "").encode()), minlength=SLOTS)
-    langs, slots, counts = [], [], []
-    for lang, c in total.items():
+        for *key, text in zip(*(c.to_pylist() for c in shared.columns(b, "declared", "half", "text")), strict=True):
+            key = tuple(key)
+            total[key] = total.get(key, 0) + np.bincount(triples((text or "").encode()), minlength=SLOTS)
+    langs, halves, slots, counts = [], [], [], []
+    for (lang, half), c in total.items():
         at = np.flatnonzero(c)
         langs += [lang] * len(at)
+        halves += [half] * len(at)
         slots.append(at)
         counts.append(c[at])
     join = lambda x: pa.array(np.concatenate(x) if x else [], pa.int64())
-    yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), join(slots), join(counts)], names=["declared", "slot", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(halves, pa.int32()), join(slots), join(counts)], names=["declared", "half", "slot", "n"])
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages and the log-probabilities of the slots under each; docs: doc_id, declared, text."""
+def _log_p(counts: np.ndarray) -> np.ndarray:
+    """Log-probabilities of the slots from their counts by language."""
+    base = counts.sum(0) + 0.01
+    table = counts + 20 * base / base.sum() * np.minimum(1, base)  # unseen slots lean on all languages
+    table += 0.01
+    return np.log(table / table.sum(1, keepdims=True))
+
+
+def _least(halves: np.ndarray, log_p: np.ndarray) -> list[float]:
+    """Mean log-likelihood a triple from which on each language explains a text; halves: counts by half, language and slot."""
+    got, n = sum((halves[1 - h] * _log_p(halves[h])).sum(1) for h in (0, 1)), halves.sum((0, 2))
+    both = (halves.sum(2) > 0).all(0)
+    return np.where(both, (got / np.maximum(n, 1) + log_p.min(1)) / 2, -np.inf).tolist()
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray, list[float]]:
+    """Languages, the log-probabilities of the slots under each, and what each explains (_least); docs: doc_id, declared, text."""
     labelled = docs.where("declared IS NOT NULL AND doc_id IS NOT NULL")
     order = F.xxhash64(F.col("doc_id"), F.lit("sample"))
     n = labelled.count()
@@ -76,18 +101,19 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
         labelled = labelled.where(order < int(2**64 * (4 * sample / n) - 2**63))
     ids = [r[0] for r in labelled.select("doc_id").orderBy(order, "doc_id").limit(sample).collect()]
     rows = labelled.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")), "doc_id", "left_semi")
-    got = rows.select("declared", "text").mapInArrow(_count, "declared string, slot long, n long").groupBy("declared", "slot").agg(F.sum("n").alias("n"))
+    half = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("half")), F.lit(2)).cast("int").alias("half")
+    got = rows.select("declared", half, "text").mapInArrow(_count, "declared string, half int, slot long, n long").groupBy("declared", "half", "slot").agg(F.sum("n").alias("n"))
     top = got.groupBy("declared").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "declared").limit(LANGUAGES).select("declared")
-    got = got.join(F.broadcast(top), "declared").toPandas()  # at most LANGUAGES * SLOTS rows
+    got = got.join(F.broadcast(top), "declared").toPandas()  # at most 2 * LANGUAGES * SLOTS rows
     langs = sorted(got["declared"].unique())
-    table = np.zeros((len(langs), SLOTS))
+    halves = np.zeros((2, len(langs), SLOTS))
     for i, lang in enumerate(langs):
         own = got[got["declared"] == lang]
-        table[i, own["slot"].to_numpy()] = own["n"].to_numpy()
-    base = table.sum(0) + 0.01
-    table += 20 * base / base.sum() * np.minimum(1, base)  # unseen slots lean on all languages
-    table += 0.01
-    return langs, np.log(table / table.sum(1, keepdims=True)).astype(np.float32) if langs else table
+        halves[own["half"].to_numpy(), i, own["slot"].to_numpy()] = own["n"].to_numpy()
+    if not langs:
+        return langs, halves[0], []
+    log_p = _log_p(halves.sum(0))
+    return langs, log_p.astype(np.float32), _least(halves, log_p)
 
 
 def _score(model):
@@ -145,7 +171,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     parent = F.nullif(F.regexp_extract("host", r"^[^.]*\.(.+\..+)$", 1), F.lit(""))
     suffix = F.nullif(F.regexp_extract("host", r"\.([a-z]+)$", 1), F.lit(""))
     d = d.withColumns({"suffix": suffix, "parent": F.coalesce(parent, F.when(F.col("host").contains("."), F.col("host")))})
-    langs, table = fit(d, sample)
+    langs, table, least = fit(d, sample)
     if not langs:
         n = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), "[^\\p{L}]", "")).cast("long")
         return d.select("doc_id", F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("probability"), "declared", n.alias("n_triples"), (n > 0).alias("kept"))
@@ -168,4 +194,6 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     p = p.withColumn("post", post).withColumn("language", _best(F.col("post"), langs))
     top = F.array_max("post")
     p = p.withColumn("probability", 1 / _total(F.transform("post", lambda x: F.exp(x - top))))
-    return p.select("doc_id", "language", "probability", "declared", F.col("n").alias("n_triples"), ((F.col("n") > 0) & (F.col("probability") >= certain)).alias("kept"))
+    fits = F.zip_with("text_ll", F.array(*[F.lit(x) for x in least]), lambda x, t: x >= t * F.col("n"))
+    explained = (F.col("n") < FIT_TRIPLES) | F.exists(fits, lambda x: x)
+    return p.select("doc_id", "language", "probability", "declared", F.col("n").alias("n_triples"), ((F.col("n") > 0) & (F.col("probability") >= certain) & explained).alias("kept"))

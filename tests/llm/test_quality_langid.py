@@ -102,6 +102,26 @@ def test_language_of_addresses(spark, small):
     assert len(got) == 50 and sum(r.language == r.declared for r in got) >= 45
 
 
+#: Texts that none of the languages of the test tables explains.
+UNKNOWN = [
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto",
+    "Wszyscy ludzie rodzą się wolni i równi w swojej godności i prawach. Są obdarzeni rozumem i sumieniem",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью",
+    "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。",
+    "x" * 5000,
+    " ".join("".join(random.Random(i).choices("bcdfghjklmnpqrstvwxz", k=6)) for i in range(200)),
+]
+
+
+def test_language_unknown(spark, medium):
+    docs = spark.read.parquet(f"{medium}/documents.parquet").select("doc_id", "text", "lang", "source")
+    more = [(10**9 + i, t * n, None, "www.example.com") for n in (1, 40) for i, t in enumerate(UNKNOWN, 100 * n)]
+    got = {r.doc_id: r for r in langid.identify(docs.unionByName(spark.createDataFrame(more, docs.schema))).collect()}
+    assert not [doc for doc, *_ in more if got[doc].kept]
+    clean = [r for d, r in got.items() if d < 10**9 and r.n_triples]
+    assert len(clean) >= 1000 and all(r.kept for r in clean)
+
+
 def test_language_awkward(spark, awkward, awkward_rows, empty):
     rows = langid.identify(awkward).collect()
     assert sorted(r.doc_id for r in rows) == sorted(d for d, *_ in awkward_rows)
