@@ -3,8 +3,9 @@
 ``parse`` reads a stream as found in the wild: it skips ID3v2 tags, finds frame headers
 and, where bytes between frames are damaged or foreign, resynchronises at the next header
 that another one confirms; it reads Xing, Info and VBRI tables, verifies the checksum of
-protected Layer III frames, and takes trailing ID3v1 tags off.  Durations are exact: samples and
-sampling rate, both integers.  Each frame's offset is a seek point.
+protected Layer III frames, and takes a trailing ID3v1 tag off where the chain of frames ends, so
+that a frame's own bytes are never taken for one.  Durations are exact: samples and sampling rate,
+both integers.  Each frame's offset is a seek point.
 
 ``encode`` stores bytes without loss in a playable stream: Layer III frames at 48 kHz,
 mono, whose side information declares no audio data, so that they decode to silence and
@@ -188,29 +189,39 @@ def _vbr_table(frame: bytes, h: Header) -> dict:
     return {}
 
 
+def _confirmed(data: bytes, at: int, h: Header, end: int) -> bool:
+    """Whether the frame at ``at`` ends with the data, or where one of its kind begins."""
+    after = data[at + h.length : min(at + h.length + 4, end)]
+    n = header(int.from_bytes(after, "big")) if len(after) == 4 else None
+    return at + h.length == end or (n is not None and n.kind == h.kind)
+
+
 def _sync(data: bytes, at: int, end: int) -> int:
     """The next offset with a header that another one, or the end, confirms; -1 if none."""
     while 0 <= (at := data.find(b"\xff", at, end)) and at + 4 <= end:
         h = header(int.from_bytes(data[at : at + 4], "big"))
-        if h and at + h.length <= end:
-            after = data[at + h.length : min(at + h.length + 4, end)]
-            n = header(int.from_bytes(after, "big")) if len(after) == 4 else None
-            if not after or (n and n.kind == h.kind):
-                return at
+        if h and _confirmed(data, at, h, end):
+            return at
         at += 1
     return -1
 
 
+def _id3v1(data: bytes) -> dict[str, str]:
+    return {k: v for k, a, n in (("title", 3, 30), ("artist", 33, 30), ("album", 63, 30)) if (v := data[a : a + n].split(b"\0")[0].decode("latin-1").strip())}
+
+
 def parse(data: bytes) -> Stream:
     s, at, end = Stream(), 0, len(data)
-    if end >= 128 and data[end - 128 : end - 125] == b"TAG":
-        end -= 128
-        s.tags |= {k: v for k, a, n in (("title", 3, 30), ("artist", 33, 30), ("album", 63, 30)) if (v := data[end + a : end + a + n].split(b"\0")[0].decode("latin-1").strip())}
+    tag = end - 128 if end >= 128 and data[end - 128 : end - 125] == b"TAG" else -1  # a tag only if no frame holds it
     while (to := _id3v2(data, at, s.tags)) > at:
         at = min(to, end)
     kind = None
     while at + 4 <= end:
         h = header(int.from_bytes(data[at : at + 4], "big"))
+        if at <= tag and (not h or tag < at + h.length and not _confirmed(data, at, h, end)):
+            s.tags |= _id3v1(data[tag:])
+            end, tag = tag, -1
+            continue
         if not h or at + h.length > end or (kind and h.kind != kind) or (not kind and _sync(data, at, at + h.length + 4 if at + h.length + 4 <= end else end) != at):
             to = _sync(data, at + 1, end)
             s.skipped += (to if to >= 0 else end) - at
