@@ -18,7 +18,7 @@ and only those of the attempt that Spark commits are listed.
 
 Edge cases: a null html is an empty payload; a null or odd url gets a ``urn:page:`` target;
 control characters in urls are escaped; rows that repeat the smallest page_id of a payload
-are responses too; a null page_id is never a revisit and none refers to it; other columns
+are responses too, and each record has an id of its own; a null page_id is never a revisit and none refers to it; other columns
 are ignored; no pages give no archives and an empty result.
 """
 
@@ -72,14 +72,15 @@ def host_key(uri: str) -> str:
     return ",".join(reversed(labels)) + colon + port + ")" + (path or "/")
 
 
-def record_id(page_id: int | None, uri: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {uri}')}>"
+def record_id(page_id: int | None, uri: str, nth: str = "") -> str:
+    """The id of a record; nth tells apart those of equal page_id and target."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {uri} {nth}'.rstrip())}>"
 
 
-def encode_record(page_id: int | None, uri: str, payload: bytes, digest: str, refers: tuple[int, str] | None) -> bytes:
-    """One record, not compressed. refers: page_id and target of the response it revisits."""
+def encode_record(page_id: int | None, uri: str, payload: bytes, digest: str, refers: tuple[int, str] | None, nth: str = "") -> bytes:
+    """One record, not compressed. refers: page_id and target of the response it revisits; nth: see record_id."""
     http = (_HTTP % len(payload)).encode()
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if refers else 'response'}", f"WARC-Record-ID: {record_id(page_id, uri)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha256:{digest}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if refers else 'response'}", f"WARC-Record-ID: {record_id(page_id, uri, nth)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha256:{digest}"]
     if page_id is not None:
         head.append(f"X-Page-Id: {page_id}")
     if refers:
@@ -127,13 +128,13 @@ def _write(folder: str):
         for batch in batches:
             for b in shared.slices(batch, "html", 4_000_000):
                 rows = []
-                for page, url, html, digest, first, first_url in zip(*(c.to_pylist() for c in shared.columns(b, "page_id", "url", "html", "digest", "first", "first_url")), strict=True):
+                for page, url, html, digest, nth, first, first_nth, first_url in zip(*(c.to_pylist() for c in shared.columns(b, "page_id", "url", "html", "digest", "nth", "first", "first_nth", "first_url")), strict=True):
                     if out is None:
                         file = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
                         out = fs.open_output_stream(f"{path}/{file}", compression=None)  # the members are compressed already
                     uri = target(url, page)
                     refers = None if first is None or page is None or page <= first else (first, target(first_url, first))
-                    data = _gzip(encode_record(page, uri, (html or "").encode(), digest, refers))
+                    data = _gzip(encode_record(page, uri, (html or "").encode(), digest, refers, "" if nth == first_nth else str(nth)))
                     out.write(data)
                     rows.append((host_key(uri), page, uri, "revisit" if refers else "response", digest, file, offset, len(data)))
                     offset += len(data)
@@ -152,9 +153,10 @@ _CAPTURE_ARROW = pa.schema([(x.split()[0], pa.int64() if x.endswith("long") else
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Archives of ``pages`` in ``folder``; the captures (CAPTURES), as a table."""
     d = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
-    d = d.withColumn("digest", F.sha2(F.encode("html", "UTF-8"), 256))
-    again = d.where((F.octet_length("html") >= REVISIT_BYTES) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.count("*").alias("c"), F.min("page_id").alias("first"), F.min_by("url", "page_id").alias("first_url"))
-    again = shared.table(again.where("c > 1").drop("c"), "warc-again")
+    d = d.withColumn("digest", F.sha2(F.encode("html", "UTF-8"), 256)).withColumn("nth", F.monotonically_increasing_id())
+    again = d.where((F.octet_length("html") >= REVISIT_BYTES) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.count("*").alias("c"), F.min(F.struct("page_id", "nth", "url")).alias("f"))
+    again = again.where("c > 1").select("digest", F.col("f.page_id").alias("first"), F.col("f.nth").alias("first_nth"), F.col("f.url").alias("first_url"))
+    again = shared.table(again, "warc-again")
     return shared.table(d.join(again, "digest", "left").mapInArrow(_write(folder), CAPTURES), "warc-captures")
 
 

@@ -75,6 +75,26 @@ def test_damage_is_found():
         mpeg.decode(bytes(data))
 
 
+@pytest.mark.parametrize("word", [b"TAG", b"ID3", b"Xing", b"Info", b"VBRI", b"\xff\xfb\x90\xc4", mpeg.encode(b"")[-192:-150]])
+def test_payloads_that_look_like_the_format(word):
+    for size in (192, 960, 1920, 2880, 3648):  # one to four frames
+        for at in range(0, size - len(word) + 1, 1 if size < 2000 or word == b"TAG" else 7):
+            payload = b"x" * at + word + b"y" * (size - at - len(word))
+            assert mpeg.decode(mpeg.encode(payload))[0] == payload, (size, at)
+
+
+def test_text_with_tag_before_the_end(spark):
+    texts = ["x" * at + "TAG" + "y" * 50 for at in range(80, 100)]
+    rows = mpeg.features(mpeg.store(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))).collect()
+    check_media(rows, list(enumerate(texts)))
+
+
+def test_tag_after_a_frame_that_is_cut_off():
+    data = b"".join(frame() for _ in range(4)) + frame()[:200] + b"TAG" + b"T".ljust(125, b"\0")
+    s = mpeg.parse(data)
+    assert len(s.offsets) == 4 and s.tags["title"] == "T"
+
+
 def check_media(rows, docs):
     got = Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in rows)
     want = Counter()
@@ -128,6 +148,21 @@ def test_warc_awkward(spark):
     assert warc.archive_and_read(df.where("false")).count() == 0
 
 
+def test_warc_record_ids(spark, tmp_path):
+    base = f"file://{tmp_path}"
+    shared.make_dirs(spark, f"{base}/a")
+    rows = awkward_pages()
+    warc.write(spark.createDataFrame(rows * 2, "page_id bigint, url string, html string").repartition(4), f"{base}/a").count()
+    ids, refers = [], set()
+    for p in (tmp_path / "a").glob("*.warc.gz"):
+        with open(p, "rb") as f:
+            for h, _ in map(warc.decode_record, warc.members(f)):
+                ids.append(h["WARC-Record-ID"])
+                refers.add(h.get("WARC-Refers-To"))
+    assert len(ids) == len(set(ids)) == 2 * len(rows)
+    assert refers - {None} <= set(ids) and len(refers) > 5
+
+
 def test_warc_index(spark, tmp_path):
     base = f"file://{tmp_path}"
     shared.make_dirs(spark, f"{base}/a", f"{base}/i")
