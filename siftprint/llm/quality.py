@@ -28,7 +28,6 @@ from . import shared
 BLANKS = " \t\n\x0b\f\r"
 _SPLIT = r"[\x20\x09-\x0D]+"
 _WORD = r"[^\x20\x09-\x0D]"
-_BITS = 20
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: The rules whose failures are aggregated by host.
@@ -62,20 +61,8 @@ def _covered(positions: Column) -> Column:
     )
 
 
-def _repeats_packed(windows: Column) -> Column:
-    """Hash and position share a long, which sorts fast; equal hashes are then neighbours."""
-    mask = F.lit((1 << _BITS) - 1).cast("long")
-
-    def same(a: Column, b: Column) -> Column:
-        return (F.shiftright(a, _BITS) == F.shiftright(b, _BITS)) & (F.get(windows, a.bitwiseAND(mask).cast("int")) == F.get(windows, b.bitwiseAND(mask).cast("int")))
-
-    packed = F.sort_array(F.transform(windows, lambda h, i: F.shiftleft(h, _BITS).bitwiseOR(i.cast("long"))))
-    again = _let(packed, lambda s: F.filter(s, lambda x, k: F.coalesce((k > 0) & same(x, F.get(s, k - 1)), F.lit(False)) | F.coalesce(same(x, F.get(s, k + 1)), F.lit(False))))
-    return _let(F.sort_array(F.transform(again, lambda x: x.bitwiseAND(mask))), _covered)
-
-
-def _repeats_wide(windows: Column) -> Column:
-    """The same for texts with more windows than the packed form has positions."""
+def _repeats(windows: Column) -> Column:
+    """Words in windows whose hash is there twice or more: equal hashes are neighbours once sorted."""
     pairs = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.cast("long").alias("i"))))
     again = _let(pairs, lambda s: F.filter(s, lambda x, k: F.coalesce((k > 0) & (x["h"] == F.get(s, k - 1)["h"]), F.lit(False)) | F.coalesce(x["h"] == F.get(s, k + 1)["h"], F.lit(False))))
     return _let(F.sort_array(F.transform(again, lambda x: x["i"])), _covered)
@@ -85,7 +72,7 @@ def repeat_words(words: Column) -> Column:
     """Words in 3-word windows that the text has twice or more."""
     return _let(
         _windows(words),
-        lambda w: F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0).cast("long")).when(F.size(w) < (1 << _BITS), _repeats_packed(w)).otherwise(_repeats_wide(w)),
+        lambda w: F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0).cast("long")).otherwise(_repeats(w)),
     )
 
 

@@ -23,18 +23,12 @@ def counts(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(inside)
 
 
-def both_forms(spark, texts):
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").withColumn("w", quality._windows(quality.words_of(F.col("t"))))
-    return {r.i: (r.p, r.q) for r in df.select("i", quality._repeats_packed(F.col("w")).alias("p"), quality._repeats_wide(F.col("w")).alias("q")).collect()}
-
-
 def test_counts_of_random_texts(spark):
     rng = random.Random(2)
     texts = ["".join(rng.choice(["a", "b", "c ", " ", "\n", "a b c ", "é", "#", "🙂 ", "\t", "\x0b", "\x1c", "\xa0"]) for _ in range(rng.randint(0, 120))) for _ in range(150)] + [None, "", " "]
     df = spark.createDataFrame([(i, t, "h") for i, t in enumerate(texts)], "doc_id bigint, text string, source string")
     got = {r.doc_id: tuple(r[c] for c in quality.COUNTS) for r in quality.base_counts(df).collect()}
     assert got == {i: counts(t) for i, t in enumerate(texts)}
-    assert {i: p for i, (p, q) in both_forms(spark, texts).items()} == {i: q for i, (p, q) in both_forms(spark, texts).items()} == {i: counts(t)[4] for i, t in enumerate(texts)}
 
 
 def test_against_sql(spark, small):
