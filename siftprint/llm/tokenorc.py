@@ -1,7 +1,8 @@
 """Token ids of documents in ORC files, and what is read back from them.
 
-Rows are ranged by doc_id over the files and ascend in each file, so file and row
-order together are the order of doc_id.  Ids are a list of integers, which ORC stores
+Rows are ranged by doc_id, the text's hash and the row's number over the files and ascend in
+each file, so file and row order together are the order of doc_id, and rows that share a
+doc_id or have none are dealt over many files too.  Ids are a list of integers, which ORC stores
 in run-length encoding; stripes can be read by different tasks; row indexes and Bloom
 filters on doc_id let a reader skip files, stripes and row groups.
 
@@ -43,7 +44,8 @@ def write(docs: DataFrame, out: str, path: str | None = None, end_id: int = 2, i
                 row += len(got)
 
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ranged = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    docs = docs.withColumn("nth", F.monotonically_increasing_id())
+    ranged = docs.repartitionByRange("doc_id", F.xxhash64("text"), "nth").sortWithinPartitions("doc_id", F.xxhash64("text"), "nth")
     ranged.mapInArrow(run, SCHEMA).write.options(**OPTIONS).orc(out)
 
 
@@ -68,7 +70,9 @@ def digest(spark: SparkSession, out: str) -> DataFrame:
     rows = shared.table(rows.mapInArrow(_digest, "file string, doc_id long, row long, n_tokens long, ids_crc32 long"), "orc-digest")
     # a row for each file: the window over all of them is bounded by the number of files
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    files = files.withColumn("before", F.sum("n").over(Window.orderBy(F.regexp_extract("file", r"part-(\d+)", 1).cast("long"))) - F.col("n")).select("file", "before")
+    # a task writes several files where the session bounds their rows
+    order = [F.regexp_extract("file", p, 1).cast("long") for p in (r"part-(\d+)", r"-c(\d+)\.")]
+    files = files.withColumn("before", F.sum("n").over(Window.orderBy(*order)) - F.col("n")).select("file", "before")
     inner = F.sum("n_tokens").over(Window.partitionBy("file").orderBy("row")) - F.col("n_tokens")
     return rows.withColumn("inner", inner).join(files, "file").select("doc_id", (F.col("before") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")
 
