@@ -3,12 +3,14 @@
 Batch encoding in Arrow functions that return lengths only.  The texts of an Arrow
 batch go to the library in batches balanced by bytes, so that a batch takes about
 the same time and memory whatever the texts' lengths.  A text longer than a batch
-is first split where no token can reach across: before a single space between two
-visible characters of which neither is white space in any definition, since a token
-of this kind of file takes such a space as its first character only.
+is first split where no token can reach across, in any script:
+* before white space that follows a visible character, since a token of this kind of file
+  has white space at its start or nothing but white space;
+* between a letter and a mark of punctuation, as tokens have either.  Only letters that all
+  versions of Unicode know count here, and no mark that special strings or contractions have.
 
 Edge cases: null and empty texts have 0 bytes and 0 tokens; repeated rows are counted
-once each; a text without any safe boundary is encoded whole; special strings in
+once each; a text without any safe boundary (one endless word) is encoded whole; special strings in
 texts are handled as the library does by default; other columns are ignored; an
 empty table gives an empty result.
 """
@@ -27,14 +29,22 @@ from . import shared, tokens
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 #: Bytes that go to the library at a time.
 BATCH = 200_000
-_SAFE = re.compile(r"(?<=[!-~À-ÖØ-öø-ɏ]) (?=[!-~À-ÖØ-öø-ɏ])")
+#: White space, or not, in every definition.
+_VISIBLE = r"[^\s\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]"
+_LETTER = "[A-Za-zÀ-ÖØ-öø-ɏΑ-ΡΣ-Ωα-ωА-яא-תء-غف-يก-ฮ一-龥ぁ-ゖァ-ヺ가-힣]"
+_SAFE = re.compile(rf"(?<={_VISIBLE})(?=[ \t\n\r\u3000])|(?<={_LETTER})(?=[,.;:!?()、。！？，．：；「」『』（）【】])")
 
 
 def segments(text: str, most: int) -> Iterator[str]:
-    """``text`` in parts of at least ``most`` characters but for the last, cut at safe boundaries only."""
-    start = 0
-    while len(text) - start > most:
-        cut = _SAFE.search(text, start + most)
+    """``text`` in parts of about ``most`` bytes or more but for the last, cut at safe boundaries only."""
+    start, ascii_ = 0, text.isascii()
+    while len(text) - start > most // 4:
+        ahead = text[start : start + most]
+        size = len(ahead) if ascii_ else len(ahead.encode())
+        step = max(1, len(ahead) * min(most, size) // size)
+        if start + step >= len(text):
+            break
+        cut = _SAFE.search(text, start + step)
         if not cut:
             break
         yield text[start : cut.start()]

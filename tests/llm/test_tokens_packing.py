@@ -5,11 +5,13 @@ from bisect import bisect_left, insort
 from collections import Counter
 
 import numpy as np
+import pyarrow.orc
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from siftprint.llm import packing, tokencount, tokenorc, tokens
+from siftprint.llm import packing, shared, tokencount, tokenorc, tokens
 
 from .conftest import WORDS
 
@@ -50,6 +52,14 @@ def test_lengths_with_splits_are_the_library(text, most):
     assert "".join(tokencount.segments(text, most)) == text
 
 
+@pytest.mark.parametrize("text", ["Широкая электрификация южных губерний. " * 400, "一二三四五、六七八九十。" * 800, "نص عربي طويل، " * 700, "한국어 문장입니다. " * 700, "line\nline\tword\r\n" * 900, "<|endoftext|>don't, x's! " * 500])
+def test_long_texts_of_any_script_are_split(text):
+    tok = tokens.tokenizer(tokens.byte_tokenizer_path())
+    parts = list(tokencount.segments(text, 1000))
+    assert "".join(parts) == text and max(len(p.encode()) for p in parts) < 1200
+    assert tokencount.lengths(tok, [text], 1000) == [len(tok.encode(text, add_special_tokens=False).ids)]
+
+
 def test_count(spark, awkward, awkward_rows, empty):
     got = Counter(map(tuple, tokencount.count(awkward, batch=1000).collect()))
     want = Counter()
@@ -168,6 +178,47 @@ def test_orc(spark, awkward, awkward_rows, empty):
     assert tokenorc.store_and_digest(empty).count() == 0
 
 
+def test_orc_of_one_id(spark):
+    docs = spark.range(3000).selectExpr("CAST(7 AS BIGINT) AS doc_id", "concat('word', id % 10) AS text").union(spark.range(500).selectExpr("CAST(NULL AS BIGINT)", "'none'")).repartition(4)
+    out = shared.fresh_path(spark, "test-orc") + "/ids"
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 100)
+    try:
+        tokenorc.write(docs, out)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    files = tokenorc.read(spark, out).groupBy(F.input_file_name()).count().collect()
+    assert len(files) > 20 and max(r[1] for r in files) <= 100  # no task has all rows of the id
+    rows = sorted(tokenorc.digest(spark, out).collect(), key=lambda r: r.start)
+    assert rows[0].doc_id is None and [r.doc_id for r in rows[500:]] == [7] * 3000
+    assert [r.start for r in rows] == [sum(x.n_tokens for x in rows[:i]) for i in range(len(rows))]
+
+
+def test_orc_files(spark, tmp_path):
+    """Stripes, run-length encoding, row index and Bloom filter, read from the files themselves."""
+    docs = spark.range(5000).selectExpr("id * 3 AS doc_id", "repeat('the of and ', 20) AS text")
+    tokenorc.write(docs.coalesce(1), f"file://{tmp_path}/ids")
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    seen = 0
+    for p in sorted((tmp_path / "ids").glob("*.orc")):
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(f"file://{p}"), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        own = pyarrow.orc.ORCFile(str(p))
+        assert reader.getStripes().size() == own.nstripes >= 1 and own.row_index_stride == 1000
+        column = reader.getSchema().findSubtype("doc_id").getId()
+        rows = reader.rows()
+        for i in range(own.nstripes):
+            footer = rows.readStripeFooter(reader.getStripes().get(i))
+            assert footer.getColumns(reader.getSchema().findSubtype("ids").getMaximumId()).getKind().toString() == "DIRECT_V2"  # integer run lengths
+            index = rows.readRowIndex(i, None, None)
+            groups = index.getRowGroupIndex()[column].getEntryList()
+            bounds = [(e.getStatistics().getIntStatistics().getMinimum(), e.getStatistics().getIntStatistics().getMaximum()) for e in groups]
+            assert bounds == sorted(bounds) and sum(e.getStatistics().getNumberOfValues() for e in groups) == own.read_stripe(i).num_rows
+            kinds = {s.getKind().toString() for s in footer.getStreamsList() if s.getColumn() == column}
+            assert "BLOOM_FILTER_UTF8" in kinds and "ROW_INDEX" in kinds
+        seen += own.nrows
+    assert seen == 5000
+
+
 def test_orc_reads_by_id(spark, small, tmp_path):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     out = f"file://{tmp_path}/ids"
