@@ -1,17 +1,24 @@
 """Runs of lines that a corpus repeats, by winnowing over line hashes.
 
 The units are the lines with a word, compared by their words.  A window starts at each
-line and reaches just far enough to hold ``min_words`` words; its fingerprint is the
-least line hash in it.  Windows depend on their own lines only, so two places that share
-a run of ``min_words`` words or more share a whole window, and with it the fingerprint:
-none is missed, also where the run is one long line.
-
-Places of one fingerprint meet in a join; the window's own hash goes with it, so that a
-fingerprint line that is common for itself joins nothing.  Of a window's places the first
-by (doc_id, line) stays.  At each later one, the match is extended both ways, line by
-line, against that first place (``min_words`` words each way at most: a longer match
-has windows of its own), and the run is deleted.  Every deleted line has an equal one at
-an earlier place, so that no content is lost from the corpus.
+line and reaches just far enough to hold ``min_words`` words.
+
+1. Of each window the place of the least line hash is selected (the last of equal ones); a
+   place is emitted once however many windows select it, with the lines of those windows.
+   Windows depend on their own lines only, so two places that share a run of ``min_words``
+   words or more share a whole window, and select the same line in it: none is missed,
+   also where the run is one long line.
+2. Selected places with one hash, the fingerprint, meet in a join.
+3. A match is extended both ways from the fingerprint: to every window that selected it,
+   and from such a window's start as far as a window that ends there takes to hold
+   ``min_words`` words.  The first place of each extension, by (doc_id, line), stays; the
+   later ones go.  So a place is compared with all earlier ones, not with one: exactly the
+   lines go that lie in a run of ``min_words`` words or more which an earlier place has too.
+   A line that is common for itself meets many places, but has no extension with them.
+
+Fingerprints and extensions with more than a thousandth of all rows are dealt over tasks.
+Every deleted line has an equal one at an earlier place, so that no content is lost from
+the corpus.
 
 Edge cases: null, empty and blank texts have no lines and stay as they are; a run that
 repeats in its own document is deleted from the second time on, without the part that
@@ -23,12 +30,13 @@ replaced; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
@@ -36,7 +44,8 @@ from . import shared
 #: Words that a repeated run must have to go.
 MIN_WORDS = 50
 
-_WINDOWS = "fp long, win long, doc_id long, th long, first int, last int, before array<long>, after array<long>"
+_PLACES = "fp long, doc_id long, th long, at int, start int, hashes array<long>, words array<int>"
+_RUNS = "fp long, run long, doc_id long, th long, first int, last int"
 RESULTS = ["n_lines", "n_removed_lines", "n_removed_words"]
 
 
@@ -53,7 +62,7 @@ def units(text: str | None) -> tuple[list[int], list[int], list[int], list[str]]
     return hashes, words, at, lines
 
 
-def windows(hashes: list[int], words: list[int], least: int) -> Iterator[tuple[int, int]]:
+def windows(words: list[int], least: int) -> Iterator[tuple[int, int]]:
     """First and last unit of each window."""
     last, total = -1, 0
     for first in range(len(words)):
@@ -66,17 +75,40 @@ def windows(hashes: list[int], words: list[int], least: int) -> Iterator[tuple[i
         total -= words[first]
 
 
-def _around(hashes: list[int], words: list[int], start: int, step: int, least: int) -> list[int]:
-    """Hashes of the units next to a window, nearest first, up to ``least`` words."""
-    out, total = [], 0
-    while 0 <= start < len(words) and total < least:
-        out.append(hashes[start])
-        total += words[start]
-        start += step
+def selected(hashes: list[int], words: list[int], least: int) -> Iterator[tuple[int, int, int]]:
+    """Of each window its first and last unit and the selected one: the last of the least hashes."""
+    rising: deque[int] = deque()  # units of a window from the selected one on, by hash
+    done = 0
+    for first, last in windows(words, least):
+        while done <= last:
+            while rising and hashes[rising[-1]] >= hashes[done]:
+                rising.pop()
+            rising.append(done)
+            done += 1
+        while rising[0] < first:
+            rising.popleft()
+        yield first, last, rising[0]
+
+
+def extensions(hashes: list[int], words: list[int], least: int) -> dict[int, list[tuple[int, int]]]:
+    """First and last unit of each extension, by the selected unit."""
+    out: dict[int, list[tuple[int, int]]] = {}
+    selects, ends = {}, {}
+    for first, last, at in selected(hashes, words, least):
+        out.setdefault(at, []).append((first, last))
+        selects[first], ends[first] = at, last
+    start, total = 0, 0
+    for last in range(len(words)):
+        total += words[last]
+        while total - words[start] >= least:
+            total -= words[start]
+            start += 1
+        if total >= least and ends[start] != last:  # the shortest run that ends here
+            out[selects[start]].append((start, last))
     return out
 
 
-def _emit(least: int):
+def _places(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in shared.slices(batch, "text", 8_000_000):
@@ -85,40 +117,61 @@ def _emit(least: int):
                     hashes, words, _, _ = units(text)
                     if sum(words) < least:
                         continue
-                    packed = np.array(hashes, np.int64)
-                    for i, j in windows(hashes, words, least):
-                        win = xxhash.xxh3_64_intdigest(packed[i : j + 1].tobytes()) >> 1
-                        rows.append((min(hashes[i : j + 1]), win, doc, th, i, j, _around(hashes, words, i - 1, -1, least), _around(hashes, words, j + 1, 1, least)))
-                kinds = [*[pa.int64()] * 4, pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-                cols = list(zip(*rows, strict=True)) if rows else [()] * 8
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in _WINDOWS.split(", ")])
+                    for at, runs in extensions(hashes, words, least).items():
+                        lo, hi = min(x for x, _ in runs), max(y for _, y in runs) + 1
+                        rows.append((hashes[at], doc, th, at, lo, hashes[lo:hi], words[lo:hi]))
+                yield _batch(rows, _PLACES)
 
     return run
 
 
-def _agree(a: Column, b: Column) -> Column:
-    """How many leading elements of two arrays are equal."""
-    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
-    at = F.array_position(same, False)
-    return F.when(at == 0, F.size(same)).otherwise(at - 1).cast("int")
+def _extend(least: int):
+    """A row for each extension of a place; its lines are all that it depends on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple] = []
+            for fp, doc, th, at, lo, hashes, words in zip(*(c.to_pylist() for c in shared.columns(b, *_names(_PLACES))), strict=True):
+                packed = np.array(hashes, np.int64)
+                for i, j in extensions(hashes, words, least).get(at - lo, ()):
+                    rows.append((fp, xxhash.xxh3_64_intdigest(packed[i : j + 1].tobytes()) >> 1, doc, th, lo + i, lo + j))
+            yield _batch(rows, _RUNS)
+
+    return run
+
+
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names = _names(schema)
+    cols = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+    kinds = [_KINDS[x.split()[1]] for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+
+
+def fingerprints(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """docs: doc_id, th, text. A row for each selected place (_PLACES)."""
+    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(_places(min_words), _PLACES)
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs: doc_id, th, text. doc_id, th and the spans of units to delete (array of first, last)."""
-    wins = shared.table(docs.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(_emit(min_words), _WINDOWS), "line-windows")
-    again = wins.groupBy("fp", "win").agg(F.count("*").alias("c")).where("c > 1").select("fp", "win")
-    met = shared.table(wins.join(again, ["fp", "win"]), "line-met")
-    shared.drop_table(wins)
-    place = F.struct("doc_id", "th", "first", "last", "before", "after")
-    # written, so that the join below is one of two plain shuffles, of which a skewed one can be split
-    anchor = shared.table(met.groupBy("fp", "win").agg(F.min(place).alias("a")), "line-anchors")
-    m = met.join(anchor, ["fp", "win"])
+    places = shared.table(fingerprints(docs, min_words), "line-places")
+    again = shared.table(places.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1"), "line-again")
+    met = shared.spread_join(places, again, ["fp"], ["doc_id", "at"])
+    runs = shared.table(met.mapInArrow(_extend(min_words), _RUNS), "line-runs")
+    shared.drop_table(places)
+    first = runs.groupBy("fp", "run").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "th", "first", "last")).alias("a")).where("c > 1")
+    m = shared.spread_join(runs, shared.table(first, "line-first"), ["fp", "run"], ["doc_id", "first"])
     same_doc = (F.col("doc_id") == F.col("a.doc_id")) & (F.col("th") == F.col("a.th"))
     m = m.where(~(same_doc & (F.col("first") == F.col("a.first"))))
-    left, right = _agree(F.col("before"), F.col("a.before")), _agree(F.col("after"), F.col("a.after"))
-    first, last = F.col("first") - left, F.col("last") + right
-    first = F.when(same_doc, F.greatest(first, F.col("a.last") + 1)).otherwise(first)
-    m = m.select("doc_id", "th", first.alias("first"), last.alias("last")).where("first <= last")
+    start = F.when(same_doc, F.greatest(F.col("first"), F.col("a.last") + 1)).otherwise(F.col("first"))
+    m = m.select("doc_id", "th", start.alias("first"), "last").where("first <= last")
     return m.groupBy("doc_id", "th").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
 

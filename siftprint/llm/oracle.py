@@ -25,20 +25,13 @@ ln AS (SELECT doc_id, unnest(range(len(x))) AS k, unnest(x) AS line FROM t),
 wd AS (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM ln),
 u AS (SELECT doc_id, k, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS u, array_to_string(w, ' ') AS s, len(w) AS c,
              sum(len(w)) OVER (PARTITION BY doc_id ORDER BY k) AS total FROM wd WHERE len(w) > 0),
-e AS (SELECT a.doc_id, a.u, min(b.u) AS v FROM u a JOIN u b ON a.doc_id = b.doc_id AND b.u >= a.u AND b.total - a.total + a.c >= 50 GROUP BY ALL),
+-- runs of 50 words or more that no line can be taken off at the end, or at the start
+e AS (SELECT a.doc_id, a.u, min(b.u) AS v FROM u a JOIN u b ON a.doc_id = b.doc_id AND b.u >= a.u AND b.total - a.total + a.c >= 50 GROUP BY ALL
+      UNION SELECT b.doc_id, max(a.u) AS u, b.u AS v FROM u a JOIN u b ON a.doc_id = b.doc_id AND b.u >= a.u AND b.total - a.total + a.c >= 50 GROUP BY ALL),
 win AS (SELECT e.doc_id, e.u, e.v, list(s ORDER BY x.u) AS lines FROM e JOIN u x ON x.doc_id = e.doc_id AND x.u BETWEEN e.u AND e.v GROUP BY ALL),
 pl AS (SELECT *, first_value(doc_id) OVER o AS d0, first_value(u) OVER o AS u0, first_value(v) OVER o AS v0
        FROM win WINDOW o AS (PARTITION BY lines ORDER BY doc_id, u)),
-met AS (SELECT doc_id, u, v, d0, u0, v0 FROM pl WHERE (doc_id, u) <> (d0, u0)),
--- steps beyond the window, each way: equal so far, and under 50 words before this one
-st AS (SELECT m.doc_id, m.u, g.side, g.step, a.s = b.s AS eq, a.c
-       FROM met m, (SELECT side, step FROM (VALUES (-1), (1)) AS y(side), range(1, 51) AS z(step)) g
-       JOIN u a ON a.doc_id = m.doc_id AND a.u = CASE WHEN side = 1 THEN m.v + step ELSE m.u - step END
-       JOIN u b ON b.doc_id = m.d0 AND b.u = CASE WHEN side = 1 THEN m.v0 + step ELSE m.u0 - step END),
-ru AS (SELECT *, bool_and(eq) OVER o AS same, sum(c) OVER o - c AS before FROM st WINDOW o AS (PARTITION BY doc_id, u, side ORDER BY step)),
-gr AS (SELECT doc_id, u, max(CASE WHEN side = -1 THEN step END) AS l, max(CASE WHEN side = 1 THEN step END) AS r FROM ru WHERE same AND before < 50 GROUP BY ALL),
-sp AS (SELECT m.doc_id, CASE WHEN m.doc_id = m.d0 THEN greatest(m.u - coalesce(l, 0), m.v0 + 1) ELSE m.u - coalesce(l, 0) END AS f, m.v + coalesce(r, 0) AS z
-       FROM met m LEFT JOIN gr USING (doc_id, u)),
+sp AS (SELECT doc_id, CASE WHEN doc_id = d0 THEN greatest(u, v0 + 1) ELSE u END AS f, v AS z FROM pl WHERE (doc_id, u) <> (d0, u0)),
 gone AS (SELECT DISTINCT u.doc_id, u.u, u.k, u.c FROM sp JOIN u ON u.doc_id = sp.doc_id AND u.u BETWEEN f AND z),
 blank AS (SELECT a.doc_id, wd.k FROM gone a JOIN gone b ON a.doc_id = b.doc_id AND b.u = a.u + 1 JOIN wd ON wd.doc_id = a.doc_id AND wd.k > a.k AND wd.k < b.k),
 dropped AS (SELECT doc_id, k FROM gone UNION SELECT doc_id, k FROM blank),

@@ -16,14 +16,19 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _count = itertools.count()
+#: Keys that are dealt over tasks in a join, at most.
+HOT_KEYS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
     """URI of the shared folder; see the module's docstring."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that the driver and the executors share")
         base = "file://" + tempfile.mkdtemp(prefix="siftprint-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -63,6 +68,20 @@ def drop_table(df: DataFrame) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def spread_join(rows: DataFrame, keys: DataFrame, on: list[str], by: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``keys``, a written table with one row a key and ``c``, its number of rows.
+
+    A key with more than a thousandth of all rows is dealt over tasks by the hash of columns
+    ``by``; there are a thousand such keys at most, so they go to every task.  ``c`` is dropped.
+    """
+    total = keys.agg(F.sum("c")).first()[0] or 0
+    share = max(1, -(-total // HOT_KEYS))
+    hot = F.broadcast(keys.where(F.col("c") > share).select(*on, F.expr(f"CAST(c div {share} + 1 AS INT)").alias("salts_")))
+    a = rows.join(hot, on, "left").withColumn("salt_", F.coalesce(F.pmod(F.xxhash64(*by), F.col("salts_")), F.lit(0)).cast("int")).drop("salts_")
+    b = keys.drop("c").join(hot, on, "left").withColumn("salt_", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts_") - 1, F.lit(0))))).drop("salts_")
+    return a.join(b, [*on, "salt_"], how).drop("salt_")
+
+
 def file_system(uri: str):
     """pyarrow's file system and inner path for a URI; works in any process."""
     from pyarrow import fs

@@ -9,47 +9,35 @@ from .conftest import sentence
 
 
 def brute(docs, least):
-    """docs: (doc_id, text), distinct. The texts after deletion, from the definition."""
+    """docs: (doc_id, text), distinct. The texts after deletion, from the definition: of equal runs
+    of ``least`` words or more the first stays."""
     lines = {}
     for doc, text in docs:
         lines[doc] = [(k, " ".join(x.split()), len(x.split())) for k, x in enumerate((text or "").split("\n")) if x.split()]
 
-    def window(doc, i):
-        total = 0
-        for j in range(i, len(lines[doc])):
-            total += lines[doc][j][2]
-            if total >= least:
-                return j
-        return None
+    def runs(doc):
+        own = lines[doc]
+        for i in range(len(own)):
+            total = 0
+            for j in range(i, len(own)):
+                total += own[j][2]
+                if total >= least:
+                    yield i, j
+                    if total - own[i][2] >= least and j > i and total - own[j][2] >= least and len(own) > 200:
+                        break  # longer runs consist of shorter ones
 
     first = {}
     for doc in sorted(lines):
-        for i in range(len(lines[doc])):
-            j = window(doc, i)
-            if j is not None:
-                first.setdefault(tuple(x[1] for x in lines[doc][i : j + 1]), (doc, i, j))
-
-    def grow(doc, i, other, k, step):
-        n = total = 0
-        while 0 <= i < len(lines[doc]) and 0 <= k < len(lines[other]) and lines[doc][i][1] == lines[other][k][1] and total < least:
-            total += lines[doc][i][2]
-            n, i, k = n + 1, i + step, k + step
-        return n
+        for i, j in runs(doc):
+            first.setdefault(tuple(x[1] for x in lines[doc][i : j + 1]), (doc, i, j))
 
     out = {}
     for doc, text in docs:
         gone = set()
-        for i in range(len(lines[doc])):
-            j = window(doc, i)
-            if j is None:
-                continue
+        for i, j in runs(doc):
             other, a, z = first[tuple(x[1] for x in lines[doc][i : j + 1])]
-            if (other, a) == (doc, i):
-                continue
-            lo, hi = i - grow(doc, i - 1, other, a - 1, -1), j + grow(doc, j + 1, other, z + 1, 1)
-            if other == doc:
-                lo = max(lo, z + 1)
-            gone |= set(range(lo, hi + 1))
+            if (other, a) != (doc, i):
+                gone |= set(range(max(i, z + 1) if other == doc else i, j + 1))
         drop = {lines[doc][k][0] for k in gone}
         drop |= {x for k in gone if k - 1 in gone for x in range(lines[doc][k - 1][0], lines[doc][k][0])}
         out[doc] = (text if not gone else "\n".join(x for n, x in enumerate(text.split("\n")) if n not in drop), len(gone))
@@ -108,3 +96,41 @@ def test_null_ids_stay(spark):
     text = " ".join(["w"] * 70)
     got = linededup.dedup_lines(spark.createDataFrame([(None, text), (None, text), (3, text)], "doc_id bigint, text string")).collect()
     assert [r.text for r in got] == [text] * 3
+
+
+def test_later_line_of_a_run_goes_though_the_first_place_lacks_it(spark):
+    rng = random.Random(9)
+    long_, short = sentence(rng, 60), sentence(rng, 45)
+    docs = [(1, long_), (2, f"{long_}\n{short}"), (3, f"{long_}\n{short}"), (4, f"{short}\n{sentence(rng, 70)}"), (5, f"{short}\n{long_}"), (6, f"{short}\n{long_}")]
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert got == {1: long_, 2: short, 3: "", 4: docs[3][1], 5: short, 6: ""}
+
+
+def test_one_fingerprint_a_minimum(spark):
+    rng = random.Random(4)
+    text = "\n".join(sentence(rng, 3) for _ in range(800))
+    hashes, words, _, _ = linededup.units(text)
+    chosen = {}
+    for i, j in linededup.windows(words, 50):
+        at = max(range(i, j + 1), key=lambda k: (-hashes[k], k))
+        chosen.setdefault(at, []).append((i, j))
+    assert [(i, j, at) for at, runs in chosen.items() for i, j in runs] == list(linededup.selected(hashes, words, 50))
+    places = linededup.fingerprints(spark.createDataFrame([(1, 2, text)], "doc_id bigint, th bigint, text string")).collect()
+    assert sorted(r["at"] for r in places) == sorted(chosen) and len(places) < 800 / 5
+
+
+def test_common_line_meets_nothing(spark):
+    """A third of all rows share a line of few words; it is everybody's fingerprint or nobody's."""
+    rng = random.Random(5)
+    line = min((sentence(rng, 4) for _ in range(300)), key=lambda x: linededup.units(x)[0][0])
+    docs = [(d, "\n".join([sentence(rng, 30), line, sentence(rng, 30)] if d % 3 == 0 else [sentence(rng, 60)])) for d in range(900)]
+    rows = linededup.dedup_lines(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)).collect()
+    assert sorted((r.doc_id, r.text) for r in rows) == docs
+
+
+def test_hot_run_is_dealt_over_tasks(spark):
+    rng = random.Random(6)
+    body = "\n".join(sentence(rng, 20) for _ in range(5))
+    docs = [(d, body if d % 3 == 0 else sentence(rng, 60)) for d in range(3000)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)
+    assert {r.doc_id: r.text for r in linededup.dedup_lines(df).collect()} == {d: t if t != body or d == 0 else "" for d, t in docs}
