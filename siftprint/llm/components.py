@@ -43,9 +43,8 @@ def _star(edges: DataFrame, large: bool, what: str) -> tuple[DataFrame, DataFram
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges
-    # written, so that the join is one of two plain shuffles, of which a skewed one can be split
-    least = shared.table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{what}-least")
-    met = both.join(least, "u")
+    least = shared.table(both.groupBy("u").agg(F.count("*").alias("c"), F.min("v").alias("m")).select("u", "c", F.least("u", "m").alias("m")), f"{what}-least")
+    met = shared.spread_join(both, least, ["u"], ["v"])
     if large:
         out = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

@@ -7,29 +7,28 @@ the full sets, and a document's class is its connected component.
 
 1. One hash function orders all shingles; a document retains its ``K`` least values.
    Equal sets are one node from here on.
-2. Inverted lists of the retained values.  A value that more than ``HOT`` nodes retain
-   is hot.  A node posts its ``COLD`` least values that are not hot, and the members
-   of one such list (``HOT`` at most) are candidates of each other.  Two linked nodes
-   of which one has at most 3/8 hot values share at least 0.6 of its other values, so
-   that they miss each other in all lists with probability 0.4 ** 24 < 1e-9.
-3. Nodes with more hot values (members of large groups, texts that are mostly common
-   passages) are searched exactly: they post the prefix of their full set, rare
-   shingles first, which any linked pair must share.  Lists of up to ``HOT`` members
-   give candidates as above.  A longer list is dealt out in blocks of bounded size, and
-   a task for each block confirms links on the full sets and gives back a spanning
-   forest: once a component has formed, its members are not compared among themselves,
-   and no pair is emitted that isn't a link of the forest.  Where a list has several
-   blocks, a few members of it are in all of them, so that its blocks' large components
-   become one.  What is then outside a list's largest component, a small part of a group
-   of copies, is compared with the list's other blocks.
-4. Candidates whose estimate from the sketch of the union (its ``K`` least values, and
-   how many of them both have) is under 0.45 go; a pair at 0.75 falls below that with
-   probability 1e-7.  The rest is confirmed on the full sets.
+2. Overlaps by inverted lists.  Two linked sketches have at least ``ESTIMATE`` of the larger
+   one's values in common (a pair at 0.75 falls below that with probability 1e-7).  So in
+   any one order of all values they share one of the first s - ceil(ESTIMATE * s) + 1, where
+   s is a sketch's size.  The order is by how many nodes retain a value, then by value, and a
+   node posts its values of that prefix: one rule for all nodes, however frequent their
+   values are, and rare values make short lists.
+3. The members of a list of up to ``PAIRS`` nodes are candidates of each other.  Where
+   sizes allow a link, the sketch of the union (all values up to the lesser of both sketches'
+   last) estimates the similarity; what reaches ``ESTIMATE`` is confirmed on the full sets.
+4. A longer list gives no pairs.  Its members are dealt out in blocks of bounded size, and a
+   task for each block estimates and confirms as above but gives back a spanning forest of the
+   links: members of one component are not compared.
+   * First each node goes to the lists of its ``FIRST`` least long values only, as in
+     min-hashing: that gathers most of a group of copies, with bytes linear in its sets.
+   * Then the lists whose members are in one component, or all of which are in one other
+     list, are done.  In each of the rest every member outside of the largest component is
+     compared with all others, so that no link between two components is missed.
 
 Edge cases: null, empty and blank texts have n_shingles 0 and are their own class;
-rows that share a doc_id are one node; a null doc_id belongs to no class and is kept;
-texts may be of any length; other columns are ignored; an empty table gives an empty
-result.
+rows with words that share a doc_id are one node, with all their sets; a null doc_id belongs to
+no class and is kept; texts may be of any length; other columns are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
@@ -47,11 +46,14 @@ from .components import components
 
 WORDS = 5
 K = 64
-HOT = 32
-COLD = 24
+ESTIMATE = 0.45
+#: A list of so many nodes gives pairs.  A candidate moves two sketches and a list's member moves its
+#: set FIRST times; at 350 shingles that is as much for lists of about this size.
+PAIRS = 12
+#: Long lists that a node goes to at first.
+FIRST = 2
 #: Shingles in a block of a long list.
 BLOCK = 500_000
-ESTIMATE = 0.45
 
 _HASH = xxhash.xxh3_64_intdigest
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -94,49 +96,22 @@ def _sketches(words: int, k: int):
     return run
 
 
-def _slots(ids: np.ndarray, bits: int) -> list[np.ndarray]:
-    """Two of 2 ** bits slots for each id."""
-    h = _mix(ids.astype(np.uint64) * _STEP)
-    return [(h >> np.uint64(64 - bits)).astype(np.int64), (h & np.uint64((1 << bits) - 1)).astype(np.int64)]
-
-
-def _bloom(ids: DataFrame) -> tuple[int, np.ndarray]:
-    """ids: doc_id. A Bloom filter of 2 ** bits bits: 16 an id, but 8 MB at most."""
-    bits = min(26, max(16, (16 * ids.count()).bit_length()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            slots = np.unique(np.concatenate(_slots(b.column(0).to_numpy(zero_copy_only=False), bits)))
-            yield pa.RecordBatch.from_arrays([pa.array(slots >> 3), pa.array(np.left_shift(1, slots & 7))], names=["byte", "bit"])
-
-    words = ids.mapInArrow(run, "byte long, bit long").groupBy("byte").agg(F.bit_or("bit").alias("bit")).toPandas()
-    out = np.zeros(1 << (bits - 3), np.uint8)
-    out[words["byte"].to_numpy(np.int64)] = words["bit"].to_numpy(np.uint8)
-    return bits, out
-
-
-def _in_bloom(ids: np.ndarray, bits: int, bloom: np.ndarray) -> np.ndarray:
-    a, b = _slots(ids, bits)
-    return ((bloom[a >> 3] >> (a & 7).astype(np.uint8)) & (bloom[b >> 3] >> (b & 7).astype(np.uint8)) & 1).astype(bool)
-
-
 def _full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """node and set of the documents of a table of ids, without moving their texts."""
-    bits, bloom = _bloom(ids)
-    bloom = docs.sparkSession.sparkContext.broadcast(bloom)
+    """node and set of the documents of a table of ids; a node may have several."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc = batch.column(batch.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)
-            for b in shared.slices(batch.filter(pa.array(_in_bloom(doc, bits, bloom.value))), "text", 4_000_000):
+            for b in shared.slices(batch, "text", 4_000_000):
                 own, texts = shared.columns(b, "doc_id", "text")
-                yield pa.RecordBatch.from_arrays([own, _lists([shingles(t, words) for t in texts.to_pylist()])], names=["node", "set"])
+                sets = [shingles(t, words) for t in texts.to_pylist()]
+                yield pa.RecordBatch.from_arrays([own, pa.array([_HASH(s.tobytes()) >> 1 for s in sets], pa.int64()), _lists(sets)], names=["node", "sid", "set"])
 
-    sets = docs.where("doc_id IS NOT NULL").mapInArrow(run, "node long, set array<long>")
-    return shared.table(sets.join(ids.withColumnRenamed("doc_id", "node"), "node", "left_semi").dropDuplicates(["node"]), "near-sets")
+    # ids are written, so their size is known: they go to every task only if they are few
+    own = docs.join(ids.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
+    return shared.table(own.mapInArrow(run, "node long, sid long, set array<long>").where("size(set) > 0").dropDuplicates(["node", "sid"]), "near-sets")
 
 
-def forest(nodes: list[int], sets: list[np.ndarray], percent: int, comps: list[int] | None = None, pivots: list[int] | None = None) -> list[tuple[int, int]]:
+def forest(nodes: list[int], sets: list[np.ndarray], percent: int, comps: list[int] | None = None, pivots: list[int] | None = None, k: int = K) -> list[tuple[int, int]]:
     """Links between the nodes' components, each confirmed on the sets: enough to join all that are linked.
 
     comps: the components so far; without them each node is its own.  pivots: the places of
@@ -146,21 +121,29 @@ def forest(nodes: list[int], sets: list[np.ndarray], percent: int, comps: list[i
     """
     n = len(nodes)
     sizes = np.array([len(s) for s in sets])
-    values, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    comp = np.arange(n) if comps is None else np.unique(np.array(comps), return_inverse=True)[1]
+    heads = [s[:k] for s in sets]  # a set ascends, so this is its sketch
+    values, ids = np.unique(np.concatenate(heads), return_inverse=True)
+    ends = np.cumsum([len(h) for h in heads])
+    starts = ends - [len(h) for h in heads]
+    top = np.array([ids[e - 1] if len(s) >= k else len(values) for s, e in zip(sets, ends, strict=True)])  # known up to this value
+    comp = np.unique(np.array(nodes if comps is None else comps), return_inverse=True)[1]
     count = np.bincount(comp, minlength=n)
     mark = np.zeros(len(values), np.int32)
     out: list[tuple[int, int]] = []
 
     def pivot(p: int) -> None:
-        own = ids[starts[p] : starts[p + 1]]
+        own = ids[starts[p] : ends[p]]
         mark[own] = 1
-        both = np.add.reduceat(mark[ids], starts[:-1])
+        both = np.add.reduceat(mark[ids], starts)
         mark[own] = 0
-        linked = (100 * both >= percent * (sizes + sizes[p] - both)) & (comp != comp[p])
-        for q in np.flatnonzero(linked):
-            if comp[q] != comp[p]:
+        theirs = np.add.reduceat((ids <= top[p]).astype(np.int32), starts)
+        union = theirs + np.searchsorted(own, top, "right") - both
+        able = (100 * np.minimum(sizes, sizes[p]) >= percent * np.maximum(sizes, sizes[p])) & (both >= ESTIMATE * union)
+        for q in np.flatnonzero(able & (comp != comp[p])).tolist():
+            if comp[q] == comp[p]:
+                continue
+            shared_ = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
+            if 100 * shared_ >= percent * (sizes[p] + sizes[q] - shared_):
                 out.append((nodes[p], nodes[q]))
                 old, new = (comp[q], comp[p]) if count[comp[q]] <= count[comp[p]] else (comp[p], comp[q])
                 count[new] += count[old]
@@ -184,162 +167,129 @@ def _links_table(links: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
 
-def _block_links(percent: int):
-    def run(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        by = {x: i for i, x in enumerate(group.column("node").to_pylist())}  # a node once
-        lists = group.column("set")
-        order = sorted(by)
-        return _links_table(forest(order, [lists[by[x]].values.to_numpy() for x in order], percent) if len(order) > 1 else [])
+def _block_links(percent: int, k: int):
+    """The forest of a block; with column comp the components so far, and outside the nodes to compare."""
 
-    return run
-
-
-def _outside_links(percent: int):
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        by, outside = {}, set()
-        for i, (x, out) in enumerate(zip(group.column("node").to_pylist(), group.column("outside").to_pylist(), strict=True)):
+        names = group.schema.names
+        told = "outside" in names
+        by: dict[tuple[int, int], int] = {}  # a set once
+        outside: set[tuple[int, int]] = set()
+        for i, x in enumerate(zip(group.column("node").to_pylist(), group.column("sid").to_pylist(), strict=True)):
             by[x] = i
-            if out:
+            if told and group.column("outside")[i].as_py():
                 outside.add(x)
-        lists, comps = group.column("set"), group.column("comp")
         order = sorted(by)
+        if len(order) < 2:
+            return _links_table([])
+        lists = group.column("set")
         sets = [lists[by[x]].values.to_numpy() for x in order]
-        return _links_table(forest(order, sets, percent, [comps[by[x]].as_py() for x in order], [k for k, x in enumerate(order) if x in outside]))
+        if not told:
+            return _links_table(forest([x for x, _ in order], sets, percent, k=k))
+        comps = group.column("comp")
+        return _links_table(forest([x for x, _ in order], sets, percent, [comps[by[x]].as_py() for x in order], [i for i, x in enumerate(order) if x in outside], k))
 
     return run
 
 
-def _pairs(postings: DataFrame) -> DataFrame:
-    """postings: v, node; lists of bounded length. Pairs a < b of members."""
-    p = postings.select("v", F.col("node").alias("a"))
-    q = postings.select("v", F.col("node").alias("b"))
-    return p.join(q, "v").where("a < b").select("a", "b")
+def _postings(nodes: DataFrame, k: int) -> DataFrame:
+    """v, node, n and the posted value before: the prefix of each node's sketch, of values that others have too."""
+    values = nodes.select("node", "sid", "n", F.explode("sketch").alias("v"))
+    often = shared.table(values.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").withColumn("often", F.col("c")), "near-often")
+    own = shared.spread_join(values, often, ["v"], ["node"]).groupBy("node", "sid", "n").agg(F.sort_array(F.collect_list(F.struct("often", "v"))).alias("own"))
+    # values that no other node has come first: they fill the prefix but need no posting
+    prefix = F.expr(f"CAST(greatest(0, size(own) - ceil({ESTIMATE} * least(n, {k})) + 1) AS INT)")
+    own = own.withColumn("own", F.slice("own", F.lit(1), prefix))
+    return own.select("node", "n", F.posexplode("own").alias("i", "o"), "own").select("node", "n", F.col("o.v").alias("v"), F.when(F.col("i") > 0, F.get(F.col("own"), F.col("i") - 1)["v"]).alias("before"))
 
 
-def _level_keys(values: np.ndarray, level: int) -> np.ndarray:
-    return _mix(values.astype(np.uint64) + np.uint64(level + 1) * _STEP).astype(np.int64)
+def _pairs(postings: DataFrame, percent: int) -> DataFrame:
+    """postings: v, node, n; lists of bounded length. Pairs a < b of members whose sizes allow a link."""
+    p = postings.select("v", F.col("node").alias("a"), F.col("n").alias("n_a"))
+    q = postings.select("v", F.col("node").alias("b"), F.col("n").alias("n_b"))
+    met = p.join(q, "v").where(f"a < b AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    return met.select("a", "b").distinct()
 
 
-def _spread_levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """v, level: a key for each level up to a value's own."""
-    for b in batches:
-        v, top = (c.to_numpy(zero_copy_only=False) for c in shared.columns(b, "v", "level"))
-        keys = [_level_keys(v[top >= n], n) for n in range(int(top.max(initial=-1)) + 1)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64), pa.int64())], names=["doc_id"])
-
-
-def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """v, node, n: of each node's set as many shingles as a linked node must meet, rare ones first.
+def _estimated(cand: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """Of candidate pairs those whose union's sketch says that they may be linked."""
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
+    est = cand.join(side("a"), "a").join(side("b"), "b")
+    top = lambda x: F.when(F.col(f"n_{x}") > k, F.element_at(f"s_{x}", -1)).otherwise(F.lit(2**63 - 1))
+    est = est.withColumn("top", F.least(top("a"), top("b")))
+    union = F.size(F.filter(F.array_union("s_a", "s_b"), lambda v: v <= F.col("top")))
+    return est.where(F.size(F.array_intersect("s_a", "s_b")) >= ESTIMATE * union).select("a", "b").distinct()
 
-    Any one order of all shingles will do.  This one goes by how frequent a shingle is: not
-    at all (up to HOT nodes), or how many times a factor of 4 above that, as a Bloom filter of
-    bounded size remembers it; its errors move a shingle in the order, for all nodes alike.
-    """
-    df = sets.select(F.explode("set").alias("v")).groupBy("v").agg(F.count("*").alias("c")).where(F.col("c") > HOT)
-    level = F.floor(F.log(F.col("c") / HOT) / F.log(F.lit(4.0))).cast("long")
-    keys = shared.table(df.select("v", F.least(level, F.lit(15)).alias("level")).mapInArrow(_spread_levels, "doc_id long"), "near-levels")
-    bits, bloom = _bloom(keys)
-    bloom = sets.sparkSession.sparkContext.broadcast(bloom)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            nodes, lists = shared.columns(b, "node", "set")
-            ends = lists.offsets.to_numpy()
-            flat = lists.values.to_numpy()[ends[0] : ends[-1]]
-            levels = np.zeros(len(flat), np.int64)
-            at = np.arange(len(flat))
-            for n in range(16):
-                at = at[_in_bloom(_level_keys(flat[at], n), bits, bloom.value)]
-                if not len(at):
-                    break
-                levels[at] = n + 1
-            rows: list[np.ndarray] = []
-            for start, end in zip((ends[:-1] - ends[0]).tolist(), (ends[1:] - ends[0]).tolist(), strict=True):
-                n = end - start
-                rows.append(flat[start:end][np.lexsort((flat[start:end], levels[start:end]))[: n + (-percent * n) // 100 + 1]])
-            sizes = np.array([len(r) for r in rows], np.int64)
-            join = lambda x: pa.array(np.concatenate(x) if len(x) else np.empty(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([join(rows), pa.array(np.repeat(nodes.to_numpy(), sizes), pa.int64()), pa.array(np.repeat(np.diff(ends), sizes), pa.int64())], names=["v", "node", "n"])
-
-    return sets.mapInArrow(run, "v long, node long, n long")
-
-
-def _members(postings: DataFrame, lists: DataFrame) -> DataFrame:
-    """Members of the long lists: v, node, n, the number of blocks and the node's own."""
-    long_ = lists.where(F.col("m") > HOT).select("v", F.expr(f"CAST((total + {BLOCK} - 1) div {BLOCK} AS INT)").alias("blocks"))
-    return postings.join(long_, "v").withColumn("own", F.expr("CAST(pmod(xxhash64(node, v), blocks) AS INT)"))
-
-
-def _links_in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links that span the components of each block of each long list."""
-    in_all = members.where("blocks > 1").groupBy("v", "blocks").agg(F.array_distinct(F.array(*[F.min_by("node", F.xxhash64("node", "v", F.lit(i))) for i in range(8)])).alias("some"))
-    in_all = in_all.select("v", F.explode("some").alias("node"), "blocks").select("v", "node", F.explode(F.expr("sequence(0, blocks - 1)")).alias("own"))
-    rows = members.select("v", "node", "own").unionByName(in_all).join(sets, "node")
-    return rows.groupBy("v", "own").applyInArrow(_block_links(percent), "a long, b long")
-
-
-def _links_across_blocks(members: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links that join components of different blocks of a list: one side is outside the list's largest."""
-    m = members.where("blocks > 1").join(comp, "node", "left").select("v", "node", "n", "blocks", "own", F.coalesce("component", "node").alias("comp"))
-    m = shared.table(m, "near-members")
-    core = m.groupBy("v", "comp").agg(F.count("*").alias("c")).groupBy("v").agg(F.max_by("comp", F.struct("c", "comp")).alias("core"))
-    out = shared.table(m.join(shared.table(core, "near-cores"), "v").where("comp <> core").drop("core"), "near-outside")
-    chunks = shared.table(out.groupBy("v").agg(F.expr(f"CAST((sum(n) + {BLOCK} - 1) div {BLOCK} AS INT)").alias("chunks")), "near-chunks")
-    out = out.join(chunks, "v").withColumn("chunk", F.expr("CAST(pmod(xxhash64(node, v, 1), chunks) AS INT)"))
-    out = out.select("v", "chunk", F.explode(F.expr("sequence(0, blocks - 1)")).alias("own"), "node", "comp", F.lit(True).alias("outside"))
-    others = m.join(chunks, "v").select("v", F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"), "own", "node", "comp", F.lit(False).alias("outside"))
-    rows = out.unionByName(others).join(sets, "node")
-    return rows.groupBy("v", "chunk", "own").applyInArrow(_outside_links(percent), "a long, b long")
-
-
-def _confirm(cand: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int, k: int) -> DataFrame:
-    """Of candidate pairs a < b those that are linked."""
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-    est = cand.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    union = F.slice(F.sort_array(F.array_union("s_a", "s_b")), 1, k)
-    both = F.size(F.array_intersect(union, F.array_intersect("s_a", "s_b")))
-    est = shared.table(est.where(both >= ESTIMATE * F.size(union)).select("a", "b"), "near-pairs")
-    ids = shared.table(est.select(F.col("a").alias("doc_id")).union(est.select("b")).distinct(), "near-ids")
-    sets = _full_sets(docs, ids, words)
-    full = est.join(sets.select(F.col("node").alias("a"), F.col("set").alias("s_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("s_b")), "b")
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs those that are linked."""
+    full = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("s_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("s_b")), "b")
     both = F.size(F.array_intersect("s_a", "s_b"))
     return full.where(100 * both >= percent * (F.size("s_a") + F.size("s_b") - both)).select("a", "b")
 
 
+def _blocks(total: str) -> Column:
+    return F.expr(f"CAST(({total} + {BLOCK} - 1) div {BLOCK} AS INT)")
+
+
+def _first_links(members: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
+    """Links that span the components of each block of the nodes' first long lists."""
+    own = members.groupBy("node").agg(F.max("n").alias("n"), F.slice(F.sort_array(F.collect_set("v")), 1, FIRST).alias("vs"))
+    own = shared.table(own.select("node", "n", F.explode("vs").alias("v")), "near-first")
+    lists = shared.table(own.groupBy("v").agg(F.count("*").alias("c"), _blocks("sum(n)").alias("blocks")).where("c > 1"), "near-first-lists")
+    rows = shared.spread_join(own, lists, ["v"], ["node"]).withColumn("block", F.expr("pmod(xxhash64(node, v), blocks)"))
+    return rows.select("v", "block", "node").join(sets, "node").groupBy("v", "block").applyInArrow(_block_links(percent, k), "a long, b long")
+
+
+def _last_links(members: DataFrame, comp: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame | None:
+    """Links between components that meet in a long list; None if none do."""
+    m = shared.table(members.join(comp, "node", "left").select("v", "node", "n", F.coalesce("component", "node").alias("comp")), "near-members")
+    of = m.groupBy("v", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    lists = of.groupBy("v").agg(F.sum("c").alias("c"), F.count("*").alias("comps"), F.max_by("comp", F.struct("c", "comp")).alias("core"), F.sum("n").alias("n"), F.max(F.struct("c", "comp", "n"))["n"].alias("n_core"))
+    lists = lists.where("comps > 1").select("v", "c", "core", _blocks("n").alias("blocks"), _blocks("n - n_core").alias("chunks"))
+    lists = shared.table(lists, "near-open-lists")
+    if lists.isEmpty():
+        return None
+    met = shared.table(shared.spread_join(m, lists, ["v"], ["node"]), "near-open")
+    out = met.where("comp <> core").withColumn("chunk", F.expr("pmod(xxhash64(node, v, 1), chunks)"))
+    out = out.select("v", "chunk", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), "node", "comp", F.lit(True).alias("outside"))
+    rest = met.select("v", F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"), F.expr("CAST(pmod(xxhash64(node, v), blocks) AS INT)").alias("block"), "node", "comp", F.lit(False).alias("outside"))
+    rows = out.withColumn("chunk", F.col("chunk").cast("int")).unionByName(rest).join(sets, "node")
+    return rows.groupBy("v", "chunk", "block").applyInArrow(_block_links(percent, k), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = 75, k: int = K) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id of the class) and kept (the one with that id)."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = shared.table(docs.mapInArrow(_sketches(words, k), "doc_id long, n long, key string, sketch array<long>"), "near-rows")
-    nodes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("key", "n").agg(F.min("doc_id").alias("node"), F.min_by("sketch", "doc_id").alias("sketch"))
-    nodes = shared.table(nodes, "near-nodes")
-
-    values = nodes.select("node", F.explode("sketch").alias("v"))
-    hot = shared.table(values.groupBy("v").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("v"), "near-hot")
-    own_hot = values.join(hot, "v").groupBy("node").agg(F.collect_list("v").alias("hot"))
-    posted = shared.table(
-        nodes.join(own_hot, "node", "left")
-        .withColumn("hot", F.coalesce("hot", F.array().cast("array<long>")))
-        .select("node", (8 * F.size("hot") > 3 * F.size("sketch")).alias("common"), F.slice(F.array_except("sketch", "hot"), 1, COLD).alias("cold")),
-        "near-posted",
-    )
-    cand = _pairs(posted.select("node", F.explode("cold").alias("v")))
-
-    common = _full_sets(docs, posted.where("common").select(F.col("node").alias("doc_id")), words)
-    prefix = shared.table(_prefixes(common, percent), "near-prefix")
-    lists = shared.table(prefix.groupBy("v").agg(F.count("*").alias("m"), F.sum("n").alias("total")).where("m > 1"), "near-lists")
-    cand = cand.unionByName(_pairs(prefix.join(lists.where(F.col("m") <= HOT).select("v"), "v", "left_semi"))).distinct()
-    members = _members(prefix, lists)
-
-    # written first: else a task would run two Python workers, one for the blocks and one for the forest
-    links = shared.table(_confirm(cand, nodes, docs, words, percent, k).unionByName(_links_in_blocks(members, common, percent)), "near-links")
+    real = rows.where("n > 0 AND doc_id IS NOT NULL")
+    nodes = real.groupBy("key", "n").agg(F.count("*").alias("c"), F.min("doc_id").alias("node"), F.min_by("sketch", "doc_id").alias("sketch"))
+    nodes = shared.table(nodes.withColumn("sid", F.xxhash64("key")), "near-nodes")
+
+    postings = shared.table(_postings(nodes, k), "near-postings")
+    lists = postings.groupBy("v").agg(F.count("*").alias("c"), F.count("before").alias("befores"), F.min("before").alias("low"), F.max("before").alias("high")).where("c > 1")
+    lists = shared.table(lists, "near-lists")
+    short = postings.join(lists.where(F.col("c") <= PAIRS).select("v"), "v", "left_semi")
+    pairs = shared.table(_estimated(_pairs(short, percent), nodes, k), "near-pairs")
+    # a list is within another one if all its members have one value before it
+    long_ = lists.where((F.col("c") > PAIRS) & ~((F.col("befores") == F.col("c")) & (F.col("low") == F.col("high")))).select("v", "c")
+    members = shared.table(shared.spread_join(postings.select("v", "node", "n"), shared.table(long_, "near-long"), ["v"], ["node"]), "near-members")
+    ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(members.select("node")).distinct()
+    sets = _full_sets(docs.where("doc_id IS NOT NULL"), shared.table(ids, "near-ids"), words)
+
+    # rows of one doc_id with several sets are one node
+    several = real.groupBy("doc_id").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("doc_id")
+    same = real.join(shared.table(several, "near-several"), "doc_id", "left_semi").join(nodes, ["key", "n"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    # written one by one: else a task would run several Python workers
+    links = shared.table(_confirmed(pairs, sets, percent).unionByName(same), "near-links")
+    links = links.unionByName(shared.table(_first_links(members, sets, percent, k), "near-links"))
     comp = components(links, "near-components")
-    if lists.where((F.col("m") > HOT) & (F.col("total") > BLOCK)).limit(1).count():
-        more = _links_across_blocks(members, comp, common, percent)
-        more = comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
-        comp = components(shared.table(more, "near-links"), "near-components")
-    classes = nodes.select("key", "n", "node").join(comp, "node", "left").select("key", "n", F.coalesce("component", "node").alias("component"))
-    out = rows.select("doc_id", "n", "key").join(classes, ["key", "n"], "left")
+    last = _last_links(members, comp, sets, percent, k)
+    if last is not None:
+        more = comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(shared.table(last, "near-links"))
+        comp = components(more, "near-components")
+    classes = nodes.join(comp, "node", "left").select("key", "n", "c", F.coalesce("component", "node").alias("component"))
+    out = shared.spread_join(rows.select("doc_id", "n", "key"), shared.table(classes, "near-classes"), ["key", "n"], ["doc_id"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -50,9 +50,9 @@ def near_copies(rng, groups=6, most=14):
     return docs
 
 
-@pytest.mark.parametrize("seed,hot,block", [(0, 32, 500_000), (1, 3, 500_000), (2, 2, 300), (3, 2, 2000), (4, 2, 600)])
+@pytest.mark.parametrize("seed,hot,block", [(0, 32, 500_000), (1, 3, 500_000), (2, 2, 300), (3, 2, 2000), (4, 2, 600), (5, 1, 100)])
 def test_against_brute_force(spark, monkeypatch, seed, hot, block):
-    monkeypatch.setattr(neardup, "HOT", hot)
+    monkeypatch.setattr(neardup, "PAIRS", hot)
     monkeypatch.setattr(neardup, "BLOCK", block)
     rng = random.Random(seed)
     docs = near_copies(rng, most=30 if hot < 32 else 14)
@@ -61,6 +61,47 @@ def test_against_brute_force(spark, monkeypatch, seed, hot, block):
     assert got == brute(docs)
 
 
+def test_one_id_with_several_texts(spark):
+    rng = random.Random(3)
+    a, b = sentence(rng, 80), sentence(rng, 80)
+    rows = [(5, a), (5, b), (6, a + " end"), (7, b + " end"), (3, a), (9, sentence(rng, 80)), (9, None)]
+    got = {(r.doc_id, r.n_shingles > 0): (r.component_id, r.kept) for r in neardup.near_duplicates(spark.createDataFrame(rows * 2, "doc_id bigint, text string").repartition(3)).collect()}
+    assert got == {(5, True): (3, False), (6, True): (3, False), (7, True): (3, False), (3, True): (3, True), (9, True): (9, True), (9, False): (9, True)}
+
+
+@pytest.mark.parametrize("n", [40])
+def test_bytes_of_a_large_group_are_linear_in_its_texts(spark, monkeypatch, n):
+    rng = random.Random(2)
+    seen = {}
+    for words in (500, 2000):
+        base = sentence(rng, words).split()
+        docs = []
+        for d in range(n):
+            w = list(base)
+            for _ in range(words // 100):
+                w[rng.randrange(words)] = f"x{rng.randint(0, 10**6)}"
+            docs.append((d, " ".join(w)))
+        moved = spark.sparkContext.accumulator(0)
+        block = neardup._block_links
+
+        def counted(*args, moved=moved):
+            run = block(*args)
+
+            def count(group):
+                moved.add(group.nbytes)
+                return run(group)
+
+            return count
+
+        monkeypatch.setattr(neardup, "_block_links", counted)
+        rows = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+        monkeypatch.setattr(neardup, "_block_links", block)
+        assert {r.component_id for r in rows} == {0}
+        seen[words] = moved.value
+    assert 0 < seen[500] < 3 * 8 * 500 * n * 1.2
+    assert 3 < seen[2000] / seen[500] < 5
+
+
 def test_forest_spans_the_components():
     rng = random.Random(7)
     docs = [(d, t) for d, t in near_copies(rng, 8, 25) if word_set(t)]
