@@ -1,9 +1,8 @@
 """Connected components of an edge table, for graphs of any size.
 
 Each partition first replaces its edges by a spanning forest.  Then large-star and
-small-star steps alternate until the edges stand still: every component is then a
-star around its smallest node.  The edges of a step are written to the shared
-folder; the driver sees two numbers a step only.
+small-star steps alternate until every component is a star around its smallest node.
+The edges of a step are written to the shared folder; the driver sees one flag a step only.
 """
 
 from __future__ import annotations
@@ -52,18 +51,20 @@ def _star(edges: DataFrame, large: bool, what: str) -> tuple[DataFrame, DataFram
     return out.where("u > v").distinct(), least
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node is a leaf of one star, or the middle of one.  No step parts what is connected, so that is the end."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("leaf")), F.struct(F.col("v").alias("x"), F.lit(0).alias("leaf")))).alias("e")).select("e.*")
+    return ends.groupBy("x").agg(F.sum("leaf").alias("up"), F.min("leaf").alias("middle")).where("up > 1 OR (up = 1 AND middle = 0)").isEmpty()
+
+
 def components(edges: DataFrame, what: str = "components") -> DataFrame:
     """edges: columns a and b, long. node and component (its least node) of each node that is not the least."""
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v")
     e = shared.table(e.mapInArrow(_forest, "u long, v long"), what)
-    seen = None
-    while True:
+    while not _stars(e):
         across, a = _star(e, True, what)
         down, b = _star(across, False, what)
         done, e = e, shared.table(down, what)
         for t in (done, a, b):
             shared.drop_table(t)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == seen:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        seen = tuple(now)
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component"))

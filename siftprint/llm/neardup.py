@@ -280,15 +280,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # rows of one doc_id with several sets are one node
     several = real.groupBy("doc_id").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("doc_id")
-    same = real.join(shared.table(several, "near-several"), "doc_id", "left_semi").join(nodes, ["key", "n"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    same = real.join(several, "doc_id", "left_semi").join(nodes, ["key", "n"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     # written one by one: else a task would run several Python workers
     links = shared.table(_confirmed(pairs, sets, percent).unionByName(same), "near-links")
     links = links.unionByName(shared.table(_first_links(members, sets, percent, k), "near-links"))
     comp = components(links, "near-components")
     last = _last_links(members, comp, sets, percent, k)
-    if last is not None:
-        more = comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(shared.table(last, "near-links"))
-        comp = components(more, "near-components")
+    if last is not None and not (last := shared.table(last, "near-links")).isEmpty():
+        comp = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(last), "near-components")
     classes = nodes.join(comp, "node", "left").select("key", "n", "c", F.coalesce("component", "node").alias("component"))
     out = shared.spread_join(rows.select("doc_id", "n", "key"), shared.table(classes, "near-classes"), ["key", "n"], ["doc_id"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

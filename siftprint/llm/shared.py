@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _count = itertools.count()
-#: Keys that are dealt over tasks in a join, at most.
-HOT_KEYS = 1000
+#: Rows of one key that may meet in a task of a join.
+KEY_ROWS = 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -71,11 +71,14 @@ def drop_table(df: DataFrame) -> None:
 def spread_join(rows: DataFrame, keys: DataFrame, on: list[str], by: list[str], how: str = "inner") -> DataFrame:
     """``rows`` joined with ``keys``, a written table with one row a key and ``c``, its number of rows.
 
-    A key with more than a thousandth of all rows is dealt over tasks by the hash of columns
-    ``by``; there are a thousand such keys at most, so they go to every task.  ``c`` is dropped.
+    A key with more than a thousandth of all rows (and more than ``KEY_ROWS``, which no task minds)
+    is dealt over tasks by the hash of columns ``by``; there are a thousand such keys at most, so
+    they go to every task.  ``c`` is dropped.
     """
-    total = keys.agg(F.sum("c")).first()[0] or 0
-    share = max(1, -(-total // HOT_KEYS))
+    total, most = keys.agg(F.sum("c"), F.max("c")).first()
+    share = max(KEY_ROWS, (total or 0) // 1000 + 1)
+    if (most or 0) <= share:
+        return rows.join(keys.drop("c"), on, how)
     hot = F.broadcast(keys.where(F.col("c") > share).select(*on, F.expr(f"CAST(c div {share} + 1 AS INT)").alias("salts_")))
     a = rows.join(hot, on, "left").withColumn("salt_", F.coalesce(F.pmod(F.xxhash64(*by), F.col("salts_")), F.lit(0)).cast("int")).drop("salts_")
     b = keys.drop("c").join(hot, on, "left").withColumn("salt_", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts_") - 1, F.lit(0))))).drop("salts_")
