@@ -98,7 +98,7 @@ def fewest(sizes, room):
 @given(st.dictionaries(st.integers(1, 100), st.integers(1, 60), max_size=30))
 @settings(max_examples=200, deadline=None)
 def test_plan_is_best_fit(counts):
-    runs = packing.plan(counts, 100)
+    runs, left = packing.plan(counts, 100)
     sizes = np.array([s for s, n in counts.items() for _ in range(n)], np.int64)
     numbers = np.array([k for n in counts.values() for k in range(n)], np.int64)
     ends = {}
@@ -107,32 +107,51 @@ def test_plan_is_best_fit(counts):
         ends[seq] = at + size
     assert max(ends.values(), default=0) <= 100
     assert len(ends) == fewest(sizes.tolist(), 100)
+    room = {first + i: fill for first, n, fill in left.tolist() for i in range(n)}
+    assert room == {s: f for s, f in ends.items() if f < 100}
 
 
-def pack_of_sizes(spark, sizes, length):
-    """Sequences that pack() makes of documents of so many ids, by partition, and those of one best fit."""
+def pack_of_sizes(spark, sizes, length, **more):
+    """Sequences by the level that emitted them, of documents of so many ids by partition, and the number that one best fit makes."""
     word = next(w for w in WORDS if len(library_ids(tokens.word_tokenizer_path(), f"{w} {w}")) == 2)
     rows = [(p << 32 | i, " ".join([word] * (n - 1))) for p, part in enumerate(sizes) for i, n in enumerate(part)]
     docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 1), "doc_id bigint, text string")
     docs = docs.repartitionByRange(len(sizes), "doc_id").sortWithinPartitions("doc_id")
-    got = packing.pack(docs, length=length)
-    assert sorted(r.length for r in got.select("length").collect()) == sorted(n for part in sizes for n in part)
-    return got.select("sequence_id").distinct().count(), fewest([n for part in sizes for n in part], length)
+    rows = packing.pack(docs, length=length, **more).select("sequence_id", "offset", "length").collect()
+    assert sorted(r.length for r in rows) == sorted(n for part in sizes for n in part)
+    ends = {}
+    for r in sorted(rows):
+        assert r.offset == ends.get(r.sequence_id, 0)
+        ends[r.sequence_id] = r.offset + r.length
+    assert max(ends.values()) <= length
+    return Counter(i >> 60 for i in ends), fewest([n for part in sizes for n in part], length)
 
 
 def test_pack_of_rows_clustered_by_length(spark):
     rng = random.Random(6)
-    sizes = sorted(rng.randint(1, 63) for _ in range(48_000))
-    got, want = pack_of_sizes(spark, [sizes[i : i + 8000] for i in range(0, len(sizes), 8000)], 64)
-    assert got == want
+    sizes = sorted(rng.randint(1, 255) for _ in range(12_000))
+    got, want = pack_of_sizes(spark, [sizes[i : i + 3000] for i in range(0, len(sizes), 3000)], 256, leaf=1000, fan_in=3)
+    assert want <= sum(got.values()) <= 1.02 * want + 1
 
 
 def test_pack_of_large_partitions_beside_small_pieces(spark):
     rng = random.Random(7)
-    large = [[rng.randint(34, 47) for _ in range(6000)] for _ in range(2)]
-    small = [[rng.randint(27, 30) for _ in range(3000)] for _ in range(2)]
-    got, want = pack_of_sizes(spark, [*large, *small], 64)
-    assert got == want
+    large = [[rng.randint(137, 187) for _ in range(3000)] for _ in range(2)]
+    small = [[rng.randint(106, 118) for _ in range(1500)] for _ in range(2)]
+    got, want = pack_of_sizes(spark, [*large, *small], 256, leaf=800, fan_in=4)
+    assert want <= sum(got.values()) <= 1.02 * want + 1
+
+
+@pytest.mark.parametrize("leaf,fan_in,levels", [(10**6, 16, 1), (250, 16, 2), (40, 8, 3)])
+def test_underfull_sequences_are_items_at_every_level(spark, leaf, fan_in, levels):
+    """Few pieces a leaf, so that most leaves have underfull sequences of small fills, which merge above."""
+    rng = random.Random(8)
+    sizes = [rng.randint(5, 60) for _ in range(2400)]
+    got, want = pack_of_sizes(spark, [sizes], 256, leaf=leaf, fan_in=fan_in)
+    assert sorted(got) == list(range(levels))
+    assert want <= sum(got.values()) <= 1.02 * want + 1
+    least = -(-sum(sizes) // 256)
+    assert sum(got.values()) <= 1.05 * least
 
 
 def check_packing(rows, docs, length, path, end=0):
@@ -151,16 +170,16 @@ def check_packing(rows, docs, length, path, end=0):
     return len(places), sum(places.values())
 
 
-@pytest.mark.parametrize("partitions,fan_in", [(1, 16), (7, 2), (40, 4)])
-def test_pack(spark, small, partitions, fan_in):
+@pytest.mark.parametrize("partitions,fan_in,leaf", [(1, 16, 10**6), (7, 2, 30)])
+def test_pack(spark, small, partitions, fan_in, leaf):
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").repartition(partitions)
-    rows = packing.pack(docs, fan_in=fan_in, carry=8).collect()
+    rows = packing.pack(docs, fan_in=fan_in, leaf=leaf).collect()
     n, total = check_packing(rows, [tuple(r) for r in docs.collect()], 2048, tokens.word_tokenizer_path())
     assert n <= -(-total // 2048) * 1.05 + 1
 
 
 def test_pack_awkward(awkward, awkward_rows, empty):
-    rows = packing.pack(awkward, length=64, fan_in=2).collect()
+    rows = packing.pack(awkward, length=64, fan_in=2, leaf=100).collect()
     n, total = check_packing(rows, [(d, t) for d, t, *_ in awkward_rows], 64, tokens.word_tokenizer_path())
     assert n <= total / 64 * 1.1 + 2
     assert packing.pack(empty).count() == 0
