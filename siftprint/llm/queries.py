@@ -22,7 +22,7 @@ def op3_sentencepiece(spark, sf_dir):
 
 
 def op4_language_id(spark, sf_dir):
-    return langid.identify(documents(spark, sf_dir))
+    return langid.identify(documents(spark, sf_dir), pages=documents(spark, sf_dir, "pages"))
 
 
 def op5_mpeg_audio(spark, sf_dir):

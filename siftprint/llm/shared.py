@@ -92,6 +92,11 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def exists(spark: SparkSession, uri: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

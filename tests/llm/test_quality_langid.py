@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import Counter
@@ -8,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from siftprint.llm import langid, quality
+from siftprint.llm import langid, quality, queries
 
 from .conftest import sentence
 
@@ -91,9 +92,89 @@ def test_language_evidence(spark):
 
 
 def test_language_of_addresses(spark, small):
-    pages = spark.read.parquet(f"{small}/pages.parquet").withColumn("markup", F.regexp_extract("html", '<html lang="([^"]*)"', 1))
-    got = langid.identify(pages, "page_id", "html", "markup", "url").collect()
-    assert len(got) == 50 and sum(r.language == r.declared for r in got) >= 45
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    got = langid.identify(docs.drop("lang"), markup_col=None, pages=pages).join(docs.select("doc_id", "lang"), "doc_id").where("n_triples > 20").collect()
+    assert len(got) > 150 and sum(r.language == r.lang for r in got) >= 0.97 * len(got)
+
+
+def test_every_evidence_changes_a_verdict_of_the_query(spark, tmp_path):
+    """One thing at a time: the registered query, on tables of which a single evidence changes."""
+    rng = random.Random(4)
+    words = {"en": "the house is in the garden and they think that it was there".split(), "de": "das haus ist im garten und sie denken dass es dort gewesen ist".split()}
+    pages = []
+    for i in range(120):
+        lang = "de" if i % 2 else "en"
+        host = rng.choice(["laden.example.com", "a.example.de", "b.example.de"] if i % 2 else ["shop.example.org", "x.example.net", "y.example.net"])
+        pages.append((i, f"https://{host}/{i}", f"<!DOCTYPE html><html class='x' lang='{lang}-XX'><p>{' '.join(rng.choices(words[lang], k=40))}</p></html>"))
+    docs = [(i, " ".join(rng.choices(words["de" if i % 2 else "en"], k=30)), "de" if i % 2 else "en", f"src{i % 2}") for i in range(60)]
+    asked = [
+        (1000, "ok 42", None, None),
+        (1001, "ok 42", "de", None), (1002, "ok 42", "en", None),  # markup
+        (1003, "ok 42", None, "new.site.de"), (1004, "ok 42", None, "new.site.net"),  # suffix
+        (1005, "ok 42", None, "laden.example.com"), (1006, "ok 42", None, "shop.example.org"),  # host
+        (1007, "ok 42", None, "new.laden.example.com"),  # its parent domain
+        (1008, " ".join(words["de"]), None, None), (1009, " ".join(words["en"]), None, None),  # text
+        (1010, " ".join(words["en"] * 3), "de", "laden.example.com"),  # a long text outweighs the rest
+    ]
+    spark.createDataFrame(pages, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(docs + asked, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.queries()["op4_language_id"](spark, str(tmp_path)).collect()}
+    assert [got[i].language for i in range(1001, 1011)] == ["de", "en", "de", "en", "de", "en", "de", "de", "en", "en"]
+    assert all(got[i].kept for i in range(1001, 1011)) and all(got[i].language == docs[i][2] for i in range(60))
+
+
+def test_fusion_against_brute_force(spark):
+    """The posterior from given text scores, counted and added up in Python."""
+    rng = random.Random(6)
+    langs, least, strength = ["de", "en", "fr"], [-9.0, -9.5, -8.0], 50.0
+    rows = []
+    for i in range(400):
+        n = rng.choice([0, 5, 30, 200])
+        ll = [-n * rng.uniform(6, 12) for _ in langs]
+        host = rng.choice([None, "localhost", "a.example.de", "b.example.de", "www.example.com", "x.y.example.fr"])
+        parent = None if not host or "." not in host else host.split(".", 1)[1] if host.count(".") > 1 else host
+        rows.append((rng.choice([i, i // 2, None]), i % 4 == 0, rng.choice([None, "de", "en", "xx"]), host.rsplit(".", 1)[1] if host and "." in host else None, parent, host, n, ll, langs[max(range(3), key=lambda j: (ll[j], -j))]))
+    df = spark.createDataFrame(rows, langid._SCORED + ", best string").repartition(4)
+    got = Counter((r.doc_id, r.language, round(r.probability, 9), r.declared, r.n_triples, r.kept) for r in langid.fuse(df, langs, least, 0.5, strength, True).collect())
+
+    def count(where):
+        c = Counter(r[8] for r in rows if r[6] and where(r))
+        return [c[x] for x in langs]
+
+    want = Counter()
+    for r in rows:
+        doc, page, declared, suffix, parent, host, n, ll, best = r
+        if page:
+            continue
+        own = [int(bool(n) and x == best) for x in langs]
+        less = lambda c, own=own: [x - y for x, y in zip(c, own)]
+        everything, documents = less(count(lambda x: True)), less(count(lambda x: not x[1]))
+        prior = [(x + 1) / (sum(everything) + 3) for x in everything]
+        for at, value in ((4, parent), (5, host)):
+            c = less(count(lambda x, at=at, value=value: x[at] == value)) if value else [0] * 3
+            prior = [(x + strength * y) / (sum(c) + strength) for x, y in zip(c, prior)]
+        post = [x / 3 + math.log(y) for x, y in zip(ll, prior)]
+        if suffix:
+            post = [p + math.log((x + 1) / (y + 3)) for p, x, y in zip(post, less(count(lambda x: x[3] == suffix)), everything)]
+        if declared:
+            post = [p + math.log((x + 1) / (y + 3)) for p, x, y in zip(post, less(count(lambda x: x[2] == declared and not x[1])), documents)]
+        top = max(post)
+        p = 1 / sum(math.exp(x - top) for x in post)
+        fits = n < langid.FIT_TRIPLES or any(x >= t * n for x, t in zip(ll, least))
+        want[doc, langs[post.index(top)], round(p, 9), declared, n, n > 0 and p >= 0.5 and fits] += 1
+    assert got == want
+
+
+def test_more_than_64_languages(spark):
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    tags = [a + b for a in letters[:9] for b in letters[:9]]
+    words = {t: ["".join(rng.choices(letters, k=6)) for _ in range(12)] for t in tags}
+    pages = [(i, "", f"<html lang={t}>{' '.join(rng.choices(words[t], k=30))}") for i, t in enumerate(tags * 4)]
+    docs = [(i, " ".join(rng.choices(words[t], k=20)), t, None) for i, t in enumerate(tags)]
+    got = langid.identify(spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string"), pages=spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()
+    assert len(got) == 81 and all(r.language == r.declared for r in got)
 
 
 #: Texts that none of the languages of the test tables explains.
