@@ -19,25 +19,35 @@ from siftprint.session import ship
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _keep(docs: DataFrame, verdicts: DataFrame, *more) -> DataFrame:
-    """The rows of docs whose doc_id is kept by verdicts (doc_id, kept), with more columns of theirs."""
-    one = verdicts.groupBy("doc_id").agg(F.max("kept").alias("kept_"), *more).where("kept_").withColumnRenamed("doc_id", "id_")
+def _without(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The rows of docs but for those whose doc_id verdicts (doc_id, kept) reject: only their ids are joined."""
+    rejected = verdicts.groupBy("doc_id").agg(F.max("kept").alias("kept_")).where("NOT kept_").select(F.col("doc_id").alias("id_"))
+    # written, so that its size is known: no text moves where the ids are few
+    rejected = shared.table(rejected, "pipeline-rejected")
     docs = docs.select(*COLUMNS)
-    return docs.join(one, docs["doc_id"].eqNullSafe(one["id_"]))
+    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["id_"]), "left_anti")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is certain; lang is the language found."""
+    """Documents whose language is certain; lang is the language found. Evidence of the folder's pages is used too."""
     ship(spark)
-    found = langid.identify(docs)
-    kept = _keep(docs, found, F.max_by("language", "probability").alias("lang_"))
-    return kept.withColumn("lang", F.coalesce("lang_", "lang")).select(*COLUMNS)
+    pages = shared.documents(spark, sf_dir, "pages") if sf_dir and shared.exists(spark, f"{sf_dir}/pages.parquet") else None
+    found = langid.identify(docs, pages=pages)
+    one = found.groupBy("doc_id").agg(
+        F.max("kept").alias("kept_"), F.max_by("language", "probability").alias("lang_"), F.min("declared").alias("low_"), F.max("declared").alias("high_"), F.count("declared").alias("n_"), F.count("*").alias("all_")
+    )
+    same = (F.col("lang_") == F.col("low_")) & (F.col("lang_") == F.col("high_")) & (F.col("n_") == F.col("all_"))
+    # only rejected documents, and those that declare another language, are joined
+    changed = shared.table(one.where(~F.col("kept_") | ~F.coalesce(same, F.lit(False))).select(F.col("doc_id").alias("id_"), "kept_", "lang_"), "pipeline-changed")
+    docs = docs.select(*COLUMNS)
+    met = docs.join(changed, docs["doc_id"].eqNullSafe(changed["id_"]), "left").where(F.coalesce("kept_", F.lit(True)))
+    return met.withColumn("lang", F.coalesce("lang_", langid.primary_tag(F.col("lang")), "lang")).select(*COLUMNS)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules, on hosts that do."""
     ship(spark)
-    return _keep(docs, quality.apply_rules(docs)).select(*COLUMNS)
+    return _without(docs, quality.apply_rules(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +60,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates."""
     ship(spark)
-    return _keep(docs, neardup.near_duplicates(docs)).select(*COLUMNS)
+    return _without(docs, neardup.near_duplicates(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
