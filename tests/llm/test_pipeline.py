@@ -16,10 +16,12 @@ def test_stages_and_whole(spark, tmp_path, awkward_rows, small):
     rows = [tuple(r) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang", "source").collect()]
     rows += [(d + 10_000, *more) for d, *more in {r[0]: r for r in awkward_rows}.values()]
     documents(spark, rows).repartition(3).write.parquet(f"{tmp_path}/sf/documents.parquet")
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    pages.write.parquet(f"{tmp_path}/sf/pages.parquet")
     got = corpus_pipeline.run(spark, f"{tmp_path}/sf").collect()
 
     # by brute force; the language model's verdict is its own, and tested there
-    lang = {r.doc_id: r.kept for r in langid.identify(documents(spark, rows)).collect()}
+    lang = {r.doc_id: r.kept for r in langid.identify(documents(spark, rows), pages=pages).collect()}
     rows = [r for r in rows if lang[r[0]]]
     verdict = {r.doc_id: r.kept for r in quality.apply_rules(documents(spark, rows)).collect()}
     for d, t, *_ in rows:
@@ -32,6 +34,16 @@ def test_stages_and_whole(spark, tmp_path, awkward_rows, small):
     assert n <= total / 2048 * 1.05 + 2
 
 
+def test_language_id_takes_effect(spark, small):
+    rows = [tuple(r) for r in spark.read.parquet(f"{small}/documents.parquet").where("n_chars > 400").select("doc_id", "text", "lang", "source").limit(60).collect()]
+    wrong = [(10_000 + d, t, None if d % 2 else "fr" if x != "fr" else "de-AT", s) for d, t, x, s in rows]
+    tagged = [(20_000 + d, t, x.upper() + "-XX", s) for d, t, x, s in rows]
+    noise = [(30_000, "x" * 5000, "en", None), (None, None, "en", None)]
+    got = {r.doc_id: r.lang for r in corpus_pipeline.language_id(spark, documents(spark, rows + wrong + tagged + noise), small).collect()}
+    want = {d: x for d, _, x, _ in rows}
+    assert got == want | {10_000 + d: x for d, x in want.items()} | {20_000 + d: x for d, x in want.items()}
+
+
 def test_stages_keep_columns(spark, awkward_rows):
     docs = documents(spark, list({r[0]: r for r in awkward_rows}.values()))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "quality_rules", "line_dedup", "near_dedup", "packing"]
