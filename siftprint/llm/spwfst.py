@@ -1,28 +1,34 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-Compiled from a model file:
-* N, the normaliser: a blank becomes the blank mark, and one mark goes before the text;
-* L, the lexicon: each piece's characters to its id; a character without a piece of its
-  own goes to the ids of its UTF-8 bytes (byte fallback) or to the unknown id;
-* G, the weights.  For a unigram model each piece has the negative of its score.  For a
-  merge model the scores are an order of merges, not weights, so G is an acceptor of pairs
-  of neighbouring pieces: weight 0 if the merges of two pieces next to each other never
-  join them, else infinite.  A sequence is what the merges make of a text exactly if each
-  pair of neighbours is one of weight 0: merges are taken best first, so what happens to
-  two neighbours does not depend on what stands around them.
-
-A text's ids are the tropical shortest path through N * L * G composed with the text.
-For a merge model all weights are 0 or infinite and every prefix of a text has exactly one
-path, so a state is a position.  Pieces never have a mark after another character, so paths
-pass through the position before each word; words are composed one by one and remembered.
-
-Decoding is the inverse of L and N: ids to bytes, marks to blanks, less the first.
+Compiled from a model file, with states and arcs:
+* N, the normaliser: the model's character map, whose rules (a few characters to others, the
+  longest rule first) are arcs from character to character with an output at their ends; then
+  blanks become the blank mark, are collapsed if the model says so, and a mark goes before the text;
+* L, the lexicon: arcs by character from the start state to the end of each piece, which gives
+  the piece's id at its weight and leads back to the start.  A character that is no piece
+  has an arc too, which gives the ids of its UTF-8 bytes (byte fallback) or the unknown id;
+* G, the weights of sequences of pieces.  For a unigram model it has one state, and the weights
+  are those of L, the negative scores.  For a merge model the scores are an order of merges, not
+  weights, so L's weights are 0 and G is an acceptor of pairs with a state for each piece: an arc of
+  weight 0 goes from one piece to the next if the merges of the two never join them; else there is
+  none (weight infinite).  A sequence is what the merges make of a text exactly if all its pairs have
+  an arc: merges are taken best first, so what happens to two neighbours does not
+  depend on what stands around them.
+
+A text is composed with N, which gives one text back, and that with L and G, state by state: a
+state of the composition is a position, at L's start, and a state of G.  The text's ids are the output of
+the shortest path through it in the tropical semiring.  Pieces never have a mark after another character,
+so every path passes through the position before each word; words are composed one by one and remembered.
+
+Decoding is the inverse of L and of the blanks: ids to bytes, marks to blanks, less the first.
 
 Edge cases: null and empty texts have no ids; ids that are bytes of no valid UTF-8 decode
 to U+FFFD; control ids decode to nothing; a text that contains the blank mark itself decodes
-to one with blanks; repeated rows, ties and null doc_ids pass through; texts may be of any
-length; other columns are ignored; an empty table gives an empty result.  Models with a
-character map or user-defined pieces are refused.
+to one with blanks; of unigram paths of one weight that with the longer piece behind is taken (the library
+lets the rounding of the text's total so far decide); unknown characters in a row are one unknown id; a character map isn't undone by
+decoding; repeated rows, ties and null doc_ids pass through; texts may be of any
+length; other columns are ignored; an empty table gives an empty result.  Models with
+user-defined pieces, or whose pieces have a mark inside, are refused.
 """
 
 from __future__ import annotations
@@ -33,7 +39,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 
-import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,11 +88,94 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += n
 
 
+def character_map(blob: bytes) -> dict[str, str]:
+    """The rules of a compiled character map: a double-array trie of UTF-8, then zero-ended results."""
+    if not blob:
+        return {}
+    size = int.from_bytes(blob[:4], "little")
+    units, results = np.frombuffer(blob[4 : 4 + size], "<u4"), blob[4 + size :]
+    offset = lambda u: (u >> 10) << ((u & 1 << 9) >> 6)
+    labels, rules, todo = np.arange(1, 256, dtype=np.int64), {}, [(offset(int(units[0])), b"")]
+    while todo:
+        base, key = todo.pop()
+        at = base ^ labels
+        ok = at < len(units)
+        ok[ok] = (units[at[ok]] & 0x800000FF) == labels[ok]
+        for c in labels[ok].tolist():
+            unit = int(units[base ^ c])
+            below = base ^ c ^ offset(unit)
+            if unit >> 8 & 1:
+                start = int(units[below]) & 0x7FFFFFFF
+                rules[(key + bytes([c])).decode()] = results[start : results.index(b"\0", start)].decode()
+            todo.append((below, key + bytes([c])))
+    return rules
+
+
+class Normaliser:
+    """N: states with arcs by character, and the output at the end of a rule."""
+
+    def __init__(self, rules: dict[str, str], collapse: bool, prefix: bool):
+        self.arcs: list[dict[str, int]] = [{}]
+        self.out: list[str | None] = [None]
+        for key, result in rules.items():
+            state = 0
+            for c in key:
+                if c not in self.arcs[state]:
+                    self.arcs[state][c] = len(self.arcs)
+                    self.arcs.append({})
+                    self.out.append(None)
+                state = self.arcs[state][c]
+            self.out[state] = result
+        # a character without an arc from the start is its own output
+        self.next = re.compile("[" + "".join(map(re.escape, self.arcs[0])) + "]").search if rules else None
+        self.collapse, self.prefix = collapse, MARK if prefix else ""
+
+    def _mapped(self, text: str) -> str:
+        out, at, n = [], 0, len(text)
+        while found := self.next(text, at):
+            out.append(text[at : found.start()])
+            at = end = found.start()
+            state, best = 0, None
+            while end < n and (state := self.arcs[state].get(text[end])) is not None:
+                end += 1
+                if self.out[state] is not None:
+                    best = end, self.out[state]
+            at, piece = best or (at + 1, text[at])
+            out.append(piece)
+        return "".join(out) + text[at:]
+
+    def __call__(self, text: str | None) -> str:
+        if not text:
+            return ""
+        text = self._mapped(text) if self.next else text
+        if self.collapse:
+            text = " ".join(x for x in text.split(" ") if x)
+        text = self.prefix + text.replace(" ", MARK)
+        return text.rstrip(MARK) if self.collapse else text
+
+
+class Lexicon:
+    """L: a state is a dict of arcs by character, each to the next state and, where a piece ends, its label, ids and weight."""
+
+    def __init__(self, pieces: dict[str, tuple[tuple[int, ...], float]]):
+        self.start: dict[str, tuple] = {}
+        for piece, (ids, weight) in pieces.items():
+            self.add(piece, ids, weight)
+
+    def add(self, piece: str, ids: tuple[int, ...], weight: float) -> tuple:
+        """The last arc of a piece, made with the states before it if they are not there."""
+        state = self.start
+        for c in piece[:-1]:
+            state = state.setdefault(c, ({}, None))[0]
+        arc = state[piece[-1]] = (state[piece[-1]][0] if piece[-1] in state else {}, (piece, ids, weight))
+        return arc
+
+
 class Transducer:
     """The compiled model; see the module's docstring."""
 
-    def __init__(self, pieces: list[tuple[str, float, int]], kind: int, byte_fallback: bool, dummy_prefix: bool = True):
-        self.kind, self.dummy_prefix, self.pieces = kind, dummy_prefix, pieces
+    def __init__(self, pieces: list[tuple[str, float, int]], kind: int, byte_fallback: bool, dummy_prefix: bool = True, rules: dict[str, str] | None = None, collapse: bool = False):
+        self.kind, self.dummy_prefix, self.pieces = kind, dummy_prefix or collapse, pieces
         self.score = {p: s for p, s, k in pieces if k in (NORMAL, UNUSED)}
         self.id = {p: i for i, (p, _, k) in enumerate(pieces) if k in (NORMAL, UNUSED)}
         self.unknown = next((i for i, x in enumerate(pieces) if x[2] == UNKNOWN), 0)
@@ -98,25 +187,26 @@ class Transducer:
         if byte_fallback:
             self.bytes = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(pieces) if k == BYTE}
         self.text = [b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else bytes([int(p[3:5], 16)]) if k == BYTE else p.encode() for p, _, k in pieces]
-        self.longest = max(map(len, self.id), default=1)
         inner = set("".join(p for p in self.id if len(p) > 1))
         alone = "".join(c for c in "\n\t\r" if c not in inner)
         self.words = re.compile(f"{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+" + (f"|[{alone}]" if alone else "")).findall
         self.derived = {p: d for p in self.id if (d := self._derive(p)) is not None} if kind == MERGES else {}
         self.inside = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
-        self.lexicon = ahocorasick.Automaton()
-        for p in self.derived or self.id:
-            self.lexicon.add_word(p, p)
-        self.lexicon.make_automaton()
+        self.normalise = Normaliser(rules or {}, collapse, dummy_prefix)
+        self.lexicon = Lexicon({p: ((i,), 0.0 if kind == MERGES else -self.score[p]) for p, i in self.id.items() if kind != MERGES or p in self.derived})
+        self.floor = 0.0 if kind == MERGES else 10 - min(self.score.values(), default=0.0)
         self.weight: dict[tuple[str, str], bool] = {}
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     @classmethod
     def load(cls, path: str) -> Transducer:
-        pieces, kind, fallback, prefix = [], UNIGRAM, False, True
         with open(path, "rb") as f:
-            model = f.read()
+            return cls.parse(f.read())
+
+    @classmethod
+    def parse(cls, model: bytes) -> Transducer:
+        pieces, kind, fallback, prefix, collapse, rules = [], UNIGRAM, False, True, True, {}
         for n, value in _fields(model):
             if n == 1:
                 d = dict(_fields(value))
@@ -129,12 +219,12 @@ class Transducer:
                     raise ValueError("marks after words are not supported")
             elif n == 3:
                 d = dict(_fields(value))
-                prefix = bool(d.get(3, 1))
-                if d.get(2) or d.get(4, 1) or not d.get(5, 1):
-                    raise ValueError("the normaliser has a character map, or removes blanks: not supported")
+                rules, prefix, collapse = character_map(d.get(2, b"")), bool(d.get(3, 1)), bool(d.get(4, 1))
+                if not d.get(5, 1):
+                    raise ValueError("blanks without a mark are not supported")
         if kind not in (UNIGRAM, MERGES):
             raise ValueError("neither a unigram nor a merge model")
-        return cls(pieces, kind, fallback, prefix)
+        return cls(pieces, kind, fallback, prefix, rules, collapse)
 
     def _derive(self, piece: str) -> tuple[list[float], list[str], list[str]] | None:
         """The merges that make a piece of its characters, in order: their scores, and the first
@@ -177,49 +267,67 @@ class Transducer:
             else:
                 j += 1
 
-    def _fallback(self, c: str) -> list[int]:
-        return [self.unknown] if self.bytes is None else [self.bytes[x] for x in c.encode()]
+    def _fallback(self, c: str) -> tuple:
+        """L's arc of a character that is no piece, made when first met."""
+        return self.lexicon.add(c, (self.unknown,) if self.bytes is None else tuple(self.bytes[x] for x in c.encode()), self.floor)
 
     def path(self, word: str) -> list[int]:
-        """Ids of the shortest path over a word."""
-        n, ids = len(word), self.id
-        last: list[str | None] = [None] * (n + 1)  # the piece that ends here
-        if self.kind == MERGES:
-            weight, at = self.weight, 0
-            for end, piece in self.lexicon.iter(word):
-                end += 1
-                while at < end - 1:  # no piece ends there: a character without one
-                    at += 1
-                    last[at] = last[at] or word[at - 1]
-                at = end - 1
-                if last[end] is None:
-                    start = end - len(piece)
-                    before = last[start]
-                    if not start:
-                        last[end] = piece
-                    elif before is not None:
-                        ok = weight.get((before, piece))
-                        if ok or ok is None and self.stable(before, piece):
-                            last[end] = piece
-            for at in range(1, n + 1):
-                last[at] = last[at] or word[at - 1]
-        else:
-            cost = [0.0] + [float("inf")] * n
-            floor = min(self.score.values(), default=0.0) - 10
-            ends: dict[int, list[str]] = {}
-            for end, piece in self.lexicon.iter(word):
-                ends.setdefault(end + 1, []).append(piece)
-            for end in range(1, n + 1):
-                for piece in (*ends.get(end, ()), word[end - 1]):
-                    c = cost[end - len(piece)] - self.score.get(piece, floor)
-                    if c < cost[end]:
-                        cost[end], last[end] = c, piece
-        out: list[list[int]] = []
-        while n:
-            p = last[n]
-            out.append([ids[p]] if p in ids else self._fallback(p))
-            n -= len(p)
-        return [i for part in reversed(out) for i in part]
+        """Ids of the shortest path through the composition of a word with L and G."""
+        how = (self._merged if self.kind == MERGES else self._lightest)(word)
+        out: list[tuple[int, ...]] = []
+        at = len(word)
+        while at:
+            at, ids = how[at]
+            out.append(ids)
+        return [i for ids in reversed(out) for i in ids]
+
+    def _merged(self, word: str) -> list[tuple[int, tuple[int, ...]]]:
+        """By position the one before and the ids between, over pairs of weight 0.
+
+        All finite paths weigh 0, and a prefix of a text has one: the first state of G that
+        is met at a position is the only one there.
+        """
+        start, known, stable = self.lexicon.start, self.weight, self.stable
+        states: list[str | None] = ["", *[None] * len(word)]
+        how: list = [None] * (len(word) + 1)
+        for at, first in enumerate(word):
+            g = states[at]
+            if g is None:
+                continue
+            arc = start.get(first)
+            if arc is None or arc[1] is None:
+                arc = self._fallback(first)
+            to = at + 1
+            while True:
+                end = arc[1]
+                if end is not None and states[to] is None:
+                    piece = end[0]
+                    ok = known.get((g, piece)) if g else True
+                    if ok or ok is None and stable(g, piece):
+                        states[to], how[to] = piece, (at, end[1])
+                if to == len(word) or (arc := arc[0].get(word[to])) is None:
+                    break
+                to += 1
+        return how
+
+    def _lightest(self, word: str) -> list[tuple[int, tuple[int, ...]]]:
+        """By position the one before and the ids between, on the path of least weight."""
+        start, inf = self.lexicon.start, float("inf")
+        total = [0.0, *[inf] * len(word)]
+        how: list = [None] * (len(word) + 1)
+        for at, first in enumerate(word):
+            arc = start.get(first)
+            if arc is None or arc[1] is None:
+                arc = self._fallback(first)
+            to, here = at + 1, total[at]
+            while True:
+                end = arc[1]
+                if end is not None and here + end[2] < total[to]:
+                    total[to], how[to] = here + end[2], (at, end[1])
+                if to == len(word) or (arc := arc[0].get(word[to])) is None:
+                    break
+                to += 1
+        return how
 
     def _word(self, word: str) -> bytes:
         """Packed ids of a word; where no piece holds the two characters at the seam, its letters
@@ -235,10 +343,6 @@ class Transducer:
             got = self.new[part] = array("I", self.path(part)).tobytes()
         return got
 
-    def normalise(self, text: str | None) -> str:
-        """N, applied to a text."""
-        return (MARK if self.dummy_prefix else "") + text.replace(" ", MARK) if text else ""
-
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, packed as little-endian unsigned 32-bit integers."""
         parts = [self.words(self.normalise(t)) for t in texts]
@@ -248,13 +352,23 @@ class Transducer:
             got = self.old.get(w)
             self.new[w] = self._word(w) if got is None else got
         get = self.new.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        out = [b"".join(map(get, p)) for p in parts]
+        return out if self.bytes is not None else list(map(self._one_unknown, out))
+
+    def _one_unknown(self, packed: bytes) -> bytes:
+        """Without byte fallback: unknown ids in a row are one."""
+        ids = np.frombuffer(packed, "<u4")
+        gone = (ids[1:] == self.unknown) & (ids[:-1] == self.unknown)
+        return ids[np.append(True, ~gone)[: len(ids)]].tobytes() if gone.any() else packed
 
     def decode(self, packed: bytes) -> str:
         ids = array("I")
         ids.frombytes(packed)
-        text = b"".join(map(self.text.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
-        return text[1:] if self.dummy_prefix and text.startswith(" ") else text
+        start = 0
+        while self.normalise.collapse and start < len(ids) and self.text[ids[start]] in (b"", MARK.encode()):
+            start += 1  # marks before the first word
+        text = b"".join(map(self.text.__getitem__, ids[start:])).decode("utf-8", "replace")
+        return (text[1:] if self.dummy_prefix and text.startswith(MARK) else text).replace(MARK, " ")
 
 
 _loaded: dict[str, Transducer] = {}

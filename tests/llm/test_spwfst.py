@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import struct
 import zlib
 from array import array
 from collections import Counter
@@ -75,6 +76,85 @@ def test_unigram_is_the_best_of_all_paths():
         assert total == pytest.approx(best(word))
 
 
+def field(n, value):
+    """A field of a protocol buffer message."""
+
+    def varint(x):
+        out = b""
+        while x > 127:
+            out += bytes([x & 127 | 128])
+            x >>= 7
+        return out + bytes([x])
+
+    if isinstance(value, float):
+        return varint(n << 3 | 5) + struct.pack("<f", value)
+    if isinstance(value, int):
+        return varint(n << 3) + varint(value)
+    return varint(n << 3 | 2) + varint(len(value)) + value
+
+
+def model(pieces, kind, rule, collapse, fallback):
+    """A model file with given pieces, and the character map of a named rule."""
+    table = [("<unk>", 0.0, spwfst.UNKNOWN), ("<s>", 0.0, spwfst.CONTROL), ("</s>", 0.0, spwfst.CONTROL)]
+    table += [(f"<0x{i:02X}>", 0.0, spwfst.BYTE) for i in range(256)] if fallback else []
+    out = b"".join(field(1, field(1, p.encode()) + field(2, s) + field(3, k)) for p, s, k in table + pieces)
+    spec = sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto() if rule else b""
+    blob = next((dict(spwfst._fields(v)).get(2, b"") for n, v in spwfst._fields(spec) if n == 3), b"")
+    out += field(2, field(3, kind) + field(35, int(fallback)))
+    return out + field(3, (field(2, blob) if blob else b"") + field(3, 1) + field(4, int(collapse)) + field(5, 1))
+
+
+WIDE = [*PARTS, "ﬁ", "㌔", "Ｈｅ", "ﾊﾟ", "É", "e\u0301", "\u3000", "\u00a0", "\u200b", "½", "①", "Å", "TM", "™", "한", "\u1112\u1161\u11ab", " ing ", "ab"]
+
+
+@pytest.mark.parametrize("kind", [spwfst.UNIGRAM, spwfst.MERGES])
+@pytest.mark.parametrize("rule,collapse,fallback", [(None, False, True), ("nmt_nfkc", True, True), ("nfkc_cf", True, False), ("nmt_nfkc_cf", False, True)])
+def test_other_models_are_the_library(kind, rule, collapse, fallback):
+    """A unigram and a merge model, with and without character map, collapsed blanks and byte fallback."""
+    rng = random.Random(5)
+    letters = sorted(set("abcdefghijklmnoprstuvwy▁.,0123") | set("é日キロ"))
+    words = ["▁the", "▁th", "th", "he", "in", "ing", "▁in", "er", "▁a", "ti", "on", "tion", "ab", "aba", "▁▁", "...", "..", "20", "24", "fi"]
+    if kind == spwfst.UNIGRAM:
+        # without pieces that make two paths of one weight
+        pieces = [(p, -1.0 - round(rng.random() * 9, 3), spwfst.NORMAL) for p in words + letters if p not in ("..", "...", "▁▁")]
+    else:
+        pieces = [(p, -float(i), spwfst.NORMAL) for i, p in enumerate(words + letters)]
+    data = model(pieces, kind, rule, collapse, fallback)
+    library, t = sentencepiece.SentencePieceProcessor(model_proto=data), spwfst.Transducer.parse(data)
+    assert bool(t.normalise.next) == bool(rule)
+    for _ in range(1500):
+        text = "".join(rng.choices(WIDE, k=rng.randint(0, 10)))
+        packed = t.encode([text])[0]
+        assert memoryview(packed).cast("I").tolist() == library.encode(text), text
+        assert t.decode(packed) == library.decode(library.encode(text)), text
+
+
+def test_character_map_is_the_library():
+    for rule in ("nfkc", "nmt_nfkc", "nfkc_cf", "nmt_nfkc_cf"):
+        library = sentencepiece.SentencePieceNormalizer(rule_name=rule)
+        n = spwfst.Transducer.parse(model([("a", 0.0, spwfst.NORMAL)], spwfst.UNIGRAM, rule, True, False)).normalise
+        rng = random.Random(1)
+        for _ in range(3000):
+            text = "".join(rng.choice([chr(rng.randint(32, 0x3FF)), chr(rng.randint(0x1100, 0x1200)), chr(rng.randint(0x3000, 0x3400)), chr(rng.randint(0xFB00, 0xFFEF)), " ", "a"]) for _ in range(rng.randint(0, 12)))
+            assert n(text) == library.normalize(text), (rule, text)
+
+
+def test_states_and_arcs():
+    """The compiled machines themselves: each piece is a path of L, each pair of neighbours an arc of G."""
+    t, rng = spwfst.transducer(spwfst.model_path()), random.Random(4)
+    for p in rng.sample(sorted(t.derived), 500):
+        state, end = t.lexicon.start, None
+        for c in p:
+            state, end = state[c]
+        assert end == (p, (t.id[p],), 0.0)
+    ids = t.path("𓀀")  # an arc that gives bytes
+    assert t.lexicon.start["𓀀"][1] == ("𓀀", tuple(ids), 0.0) and len(ids) == 4
+    for word in ("▁international", "▁1234", "日本𓀀x"):  # one path is finite: each prefix has one state of G
+        for n in range(1, len(word)):
+            apart = [(a, b) for a, b in itertools.pairwise([t.pieces[i][0] for i in t.path(word[:n])]) if not t.pieces[t.id.get(a, 0)][2] == spwfst.BYTE]
+            assert all(t.stable(a, b) for a, b in apart if a in t.id and b in t.id)
+
+
 def test_refuses_what_it_cannot_do():
     with pytest.raises(ValueError):
         spwfst.Transducer([("a▁b", 0.0, spwfst.NORMAL)], spwfst.UNIGRAM, False)
