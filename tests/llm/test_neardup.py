@@ -50,7 +50,7 @@ def near_copies(rng, groups=6, most=14):
     return docs
 
 
-@pytest.mark.parametrize("seed,hot,block", [(0, 32, 500_000), (1, 3, 500_000), (2, 2, 300), (3, 2, 2000), (4, 2, 600), (5, 1, 100)])
+@pytest.mark.parametrize("seed,hot,block", [(0, 12, 500_000), (3, 2, 2000), (5, 1, 100)])
 def test_against_brute_force(spark, monkeypatch, seed, hot, block):
     monkeypatch.setattr(neardup, "PAIRS", hot)
     monkeypatch.setattr(neardup, "BLOCK", block)
