@@ -8,11 +8,12 @@ per Arrow batch, over all images of one size at a time, so no resized pixels are
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -141,6 +142,19 @@ def to_grid(data: Column | str = "pixels") -> Column:
 
 
 def histogram(images: DataFrame, id_col: str = "id", data_col: str = "pixels") -> DataFrame:
-    """Pixels of each value: id, value, n."""
-    v = images.select(F.col(id_col).alias("id"), F.explode(to_grid(data_col)).alias("value"))
-    return v.groupBy("id", "value").agg(F.count("*").alias("n"))
+    """Pixels of each value that an image has: id, value, n.  Counted image by image: no pixel becomes a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, values, counts = [], [], []
+            for i, data in enumerate(b.column(1)):
+                n = np.bincount(np.frombuffer(data.as_buffer(), np.uint8), minlength=256) if data.is_valid and len(data.as_buffer()) else np.zeros(256, np.int64)
+                at = np.flatnonzero(n)
+                rows.append(np.full(len(at), i))
+                values.append(at)
+                counts.append(n[at])
+            flat = [pa.array(np.concatenate(x) if x else np.empty(0), t) for x, t in ((rows, pa.int64()), (values, pa.int32()), (counts, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(flat[0]), *flat[1:]], names=["id", "value", "n"])
+
+    ids = images.select(F.col(id_col).alias("id"), F.col(data_col).alias("data"))
+    return ids.mapInArrow(run, f"id {ids.schema['id'].dataType.simpleString()}, value int, n long")

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import InvalidInput
@@ -168,21 +168,36 @@ def distance_matrix(hashes: DataFrame) -> DataFrame:
 
 
 class HashIndex:
-    """A stored index: distinct hashes with their ids' count, and band entries to join on."""
+    """An index to search within ``t`` bits: distinct hashes with their ids' count, and band entries to join on.
+
+    ``write`` stores it, ``open`` gives it back; searches of an opened one join the stored entries.
+    """
 
     def __init__(self, hashes: DataFrame, t: int = 5, bands: int | None = None):
         _check(t)
         self.hashes, self.t = hashes.where("hash IS NOT NULL"), t
         m = min(bands or t + 1, 64)
         self.bands = Bands(m, t // m)
+        self.stored: DataFrame | None = None
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> HashIndex:
+        """The index that ``write`` left at a path."""
+        t, bands = spark.read.parquet(f"{path}/about").first()
+        out = cls(spark.read.parquet(f"{path}/rows"), t, bands)
+        out.stored = spark.read.parquet(f"{path}/entries")
+        return out
 
     def entries(self) -> DataFrame:
         """hash, n, band, value."""
         return self.bands.entries(self.hashes.groupBy("hash").agg(F.count("*").alias("n")), "hash", False)
 
     def write(self, path: str, buckets: int = 64) -> None:
-        """Entries as Parquet, clustered by (band, value)."""
-        self.entries().repartition(buckets, "band", "value").sortWithinPartitions("band", "value").write.mode("overwrite").parquet(path)
+        """Entries as Parquet, clustered by (band, value), the rows by hash, and how it is cut."""
+        self.entries().repartition(buckets, "band", "value").sortWithinPartitions("band", "value").write.mode("overwrite").parquet(f"{path}/entries")
+        self.hashes.select("id", "hash").repartitionByRange(buckets, "hash").sortWithinPartitions("hash").write.mode("overwrite").parquet(f"{path}/rows")
+        spark = self.hashes.sparkSession
+        spark.createDataFrame([(self.t, self.bands.bands)], "t int, bands int").coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
 
     def insert(self, more: DataFrame) -> HashIndex:
         """An index with further rows; equal rows are kept."""
@@ -198,7 +213,17 @@ class HashIndex:
         return (row.b["hash"], row.b["d"]) if row and row.b else None
 
     def find_many(self, queries: DataFrame, t: int | None = None) -> DataFrame:
-        return range_join(queries, self.hashes, self.t if t is None else t)
+        """What range_join gives, from the stored entries where there are some that reach ``t``."""
+        t = self.t if t is None else t
+        _check(t)
+        if self.stored is None or t > self.t:
+            return range_join(queries, self.hashes, t)
+        q = queries.where("hash IS NOT NULL").select(F.col("id").alias("query_id"), F.col("hash").alias("qh"))
+        e = self.bands.entries(q.select("qh").distinct(), "qh", True)
+        met = e.join(self.stored.select(F.col("hash").alias("hh"), "band", "value"), ["band", "value"]).withColumn("distance", hamming("qh", "hh"))
+        near = met.where((F.col("distance") <= t) & (self.bands.first("qh", "hh") == F.col("band"))).select("qh", "hh", "distance")
+        h = self.hashes.select(F.col("id").alias("match_id"), F.col("hash").alias("hh"))
+        return near.join(q, "qh").join(h, "hh").select("query_id", "match_id", F.col("hh").alias("hash"), "distance")
 
     def __len__(self) -> int:
         return self.hashes.count()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,3 +29,14 @@ def embedding_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each embedding's 64 numbers as a grid of 8 by 8: id, p."""
     grey = lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((x.cast("double") + 1) * 127.5))).cast("int")
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.transform("embedding", grey).alias("p"))
+
+
+def work_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; on a single machine one of its own where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that the driver and the executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="siftprint-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")

@@ -125,6 +125,7 @@ e AS (SELECT *, band * 64 // 6 AS lo, (band + 1) * 64 // 6 AS hi FROM d, range(6
 SELECT hash, n, band::INT AS band, (hash >> lo::INT) & ((1::BIGINT << (hi - lo)::INT) - 1) AS value FROM e""",
         "hamming_find": f"WITH {hashes()} SELECT id AS doc_id, hash, bit_count(xor(hash, 6148914691236517205))::INT AS distance FROM hashes WHERE bit_count(xor(hash, 6148914691236517205)) <= 28",
         "hamming_find_multi": FIND,
+        "hash_index_stored": FIND.replace("<= 8", "<= 5"),
         "hamming_find_brute": FIND,
         "hamming_nearest": f"""WITH {_two(TEXT, BENCHMARK)},
 d AS (SELECT q.id AS item_id, h.id AS doc_id, h.hash, bit_count(xor(q.hash, h.hash))::INT AS distance FROM q, h)

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators.digest import digests
 from ..operators.phash import PHashConfig, phash
-from ..operators.similarity import range_join
+from ..operators.similarity import HashIndex, range_join
 
 
 def stream_digests(messages: DataFrame, message_col: str = "payload", out: str = "digest") -> DataFrame:
@@ -22,13 +22,13 @@ def stream_phash(images: DataFrame, config: PHashConfig | None = None) -> DataFr
     return phash(images, config)
 
 
-def match_stream(hashes: DataFrame, index: DataFrame, t: int, sink: Callable[[DataFrame, int], None]) -> DataStreamWriter:
+def match_stream(hashes: DataFrame, index: DataFrame | HashIndex, t: int, sink: Callable[[DataFrame, int], None]) -> DataStreamWriter:
     """A writer that gives ``sink`` the matches (see range_join) of each micro-batch in a stored index.
 
-    hashes, index: id, hash.
+    hashes, index: id, hash; or an index, of which an opened one is searched as stored.
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        sink(range_join(batch, index, t), number)
+        sink(index.find_many(batch, t) if isinstance(index, HashIndex) else range_join(batch, index, t), number)
 
     return hashes.writeStream.foreachBatch(each)

@@ -113,7 +113,15 @@ def test_index(spark, tmp_path):
     assert index.insert(frames.hashes(spark, [7])).find(7, 0).count() == 1
     assert index.find_many(frames.hashes(spark, [40])).count() == len(brute([40], [frames.signed(h) for h in hashes], 5))
     index.write(str(tmp_path / "index"), 2)
-    assert spark.read.parquet(str(tmp_path / "index")).count() == 5 * 6
+    assert spark.read.parquet(str(tmp_path / "index" / "entries")).count() == 5 * 6
+    again = similarity.HashIndex.open(spark, str(tmp_path / "index"))
+    assert len(again) == 6 and again.t == 5 and again.find_nearest(0x10) == (0, 1)
+    signed = [frames.signed(h) for h in hashes]
+    for t in (0, 3, 5, 9):  # within what is stored, and beyond
+        queries = [0, 40, 42, signed[3] ^ 7]
+        assert sorted(map(tuple, again.find_many(frames.hashes(spark, queries), t).collect())) == brute(queries, signed, t)
+    plan = again.find_many(frames.hashes(spark, [40]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "entries" in again.stored.inputFiles()[0] and "band" in plan and "Cross" not in plan
     none = similarity.HashIndex(frames.hashes(spark, [1]).where("false"))
     assert none.is_empty() and none.find_nearest(1) is None
     for bad in (-1, 1.5):
