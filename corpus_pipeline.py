@@ -31,8 +31,7 @@ def _without(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is certain; lang is the language found. Evidence of the folder's pages is used too."""
     ship(spark)
-    pages = shared.documents(spark, sf_dir, "pages") if sf_dir and shared.exists(spark, f"{sf_dir}/pages.parquet") else None
-    found = langid.identify(docs, pages=pages)
+    found = langid.identify(docs, pages=shared.if_there(spark, sf_dir, "pages"))
     one = found.groupBy("doc_id").agg(
         F.max("kept").alias("kept_"), F.max_by("language", "probability").alias("lang_"), F.min("declared").alias("low_"), F.max("declared").alias("high_"), F.count("declared").alias("n_"), F.count("*").alias("all_")
     )
