@@ -15,6 +15,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,9 +93,14 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def exists(spark: SparkSession, uri: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+def if_there(spark: SparkSession, sf_dir: str, name: str) -> DataFrame | None:
+    """A table of a folder; None where the folder doesn't have it."""
+    try:
+        return documents(spark, sf_dir, name) if sf_dir else None
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
