@@ -1,6 +1,6 @@
 """Connected components of an edge table, for graphs of any size.
 
-Each partition first replaces its edges by a spanning forest.  Then large-star and
+A task first replaces its edges (``EDGES``, about) by a spanning forest.  Then large-star and
 small-star steps alternate until every component is a star around its smallest node.
 The edges of a step are written to the shared folder; the driver sees one flag a step only.
 """
@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from . import shared
 
 
+#: Edges that a task joins to a forest at first.
+EDGES = 1_000_000
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parent: dict[int, int] = {}
 
@@ -58,9 +62,10 @@ def _stars(edges: DataFrame) -> bool:
 
 
 def components(edges: DataFrame, what: str = "components") -> DataFrame:
-    """edges: columns a and b, long. node and component (its least node) of each node that is not the least."""
+    """edges: columns a and b, long, cheap to read. node and component (its least node) of each node that is not the least."""
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v")
-    e = shared.table(e.mapInArrow(_forest, "u long, v long"), what)
+    tasks = max(1, -(-e.count() // EDGES))
+    e = shared.table(e.coalesce(tasks).mapInArrow(_forest, "u long, v long"), what)
     while not _stars(e):
         across, a = _star(e, True, what)
         down, b = _star(across, False, what)

@@ -130,7 +130,9 @@ def test_forest_from_outside():
     assert comp == want
 
 
-def test_components(spark):
+@pytest.mark.parametrize("edges_a_task", [10**6, 40])
+def test_components(spark, monkeypatch, edges_a_task):
+    monkeypatch.setattr(components, "EDGES", edges_a_task)
     rng = random.Random(1)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(i, i + 1) for i in range(1000, 1100)] + [(2000, i) for i in range(2001, 2300)]
     near = defaultdict(set)
