@@ -23,6 +23,8 @@ from ..functions.hamming import band_edges, band_value, hamming, hash_hex, masks
 
 #: Rows of the smaller side up to which the whole side goes to every task.
 BROADCAST_ROWS = 100_000
+#: Bits by which a search for the nearest goes further out.
+STEP = 4
 #: Values that one band value is spread to, at most.
 SPREAD = 5000
 
@@ -87,8 +89,13 @@ def _join_hashes(q: DataFrame, h: DataFrame, t: int, method: str) -> DataFrame:
             bands = Bands(min(t + 1, 64), t // min(t + 1, 64))
     if bands is None:
         return _compare_all(q, h).withColumn("distance", distance).where(F.col("distance") <= t)
+    return _banded(q, h, t, bands)
+
+
+def _banded(q: DataFrame, h: DataFrame, t: int, bands: Bands) -> DataFrame:
+    """qh, hh and distance of all pairs within t, by an equi-join on bands."""
     e, f = bands.entries(q, "qh", True), bands.entries(h, "hh", False)
-    met = e.join(f, ["band", "value"]).withColumn("distance", distance)
+    met = e.join(f, ["band", "value"]).withColumn("distance", hamming("qh", "hh"))
     return met.where((F.col("distance") <= t) & (bands.first("qh", "hh") == F.col("band"))).select("qh", "hh", "distance")
 
 
@@ -128,10 +135,12 @@ def find(index: DataFrame, query: int, t: int) -> DataFrame:
 def nearest(queries: DataFrame, index: DataFrame, first_t: int = 7) -> DataFrame:
     """For each query the nearest index row: query_id, match_id, hash, distance.
 
-    Of equally near rows the one with the least hash (unsigned), then the least id. Queries
-    with a row within ``first_t`` bits are answered by range_join; the rest is compared with
-    all distinct hashes, of which each task keeps the best only.
+    Of equally near rows the one with the least hash (unsigned), then the least id. A banded
+    join within ``first_t`` bits answers the queries that have such a row; the rest is asked
+    again ``STEP`` bits further out, for as long as bands are less work than comparing it with
+    all distinct hashes.  What is left then is compared; each task keeps the best only.
     """
+    _check(first_t)
     q = queries.where("hash IS NOT NULL").select(F.col("id").alias("query_id"), F.col("hash").alias("qh"))
     h = index.where("hash IS NOT NULL").groupBy(F.col("hash").alias("hh")).agg(F.min("id").alias("match_id"))
     qs, hs = q.select("qh").distinct(), h.select("hh")
@@ -140,9 +149,18 @@ def nearest(queries: DataFrame, index: DataFrame, first_t: int = 7) -> DataFrame
         key = F.struct(hamming("qh", "hh").alias("distance"), hash_hex("hh").alias("hx"), F.col("hh").alias("hh"))
         return pairs.groupBy("qh").agg(F.min(key).alias("b"))
 
-    near = best(_join_hashes(qs, hs, first_t, "auto")).persist()  # read twice; a row a query
-    far = best(_compare_all(qs.join(near, "qh", "left_anti"), hs))
-    found = near.unionByName(far).select("qh", F.col("b.hh").alias("hh"), F.col("b.distance").alias("distance"))
+    found, left, t = None, qs, first_t
+    n_left, n_hashes = qs.count(), hs.count()
+    while n_left and (bands := Bands.choose(t, n_left, n_hashes)):
+        near = best(_banded(left, hs, t, bands)).persist()  # read twice; a row a query
+        n_left -= near.count()
+        found = near if found is None else found.unionByName(near)
+        left = left.join(near, "qh", "left_anti")
+        t += STEP
+    if n_left or found is None:
+        far = best(_compare_all(left, hs))
+        found = far if found is None else found.unionByName(far)
+    found = found.select("qh", F.col("b.hh").alias("hh"), F.col("b.distance").alias("distance"))
     return q.join(found, "qh").join(h, "hh").select("query_id", "match_id", F.col("hh").alias("hash"), "distance")
 
 

@@ -84,6 +84,25 @@ def test_nearest(spark):
     assert similarity.nearest(frames.hashes(spark, queries), frames.hashes(spark, []).where("false")).count() == 0
 
 
+@pytest.mark.parametrize("last", [3, 11, 19])
+def test_nearest_further_out(spark, monkeypatch, last):
+    monkeypatch.setattr(similarity.Bands, "choose", classmethod(lambda cls, t, q, h: cls(t + 1, 0) if t <= last else None))
+    hashes = clustered(4)
+    rng = random.Random(last)
+    queries = [h ^ (2**n - 1) for n, h in enumerate(hashes[:30])] + [frames.signed(rng.getrandbits(64)) for _ in range(5)]
+    got = {r.query_id: (r.match_id, r.hash, r.distance) for r in similarity.nearest(frames.hashes(spark, queries), frames.hashes(spark, hashes), 3).collect()}
+    want = [min((oracle.hamming(q, h), frames.unsigned(h), j) for j, h in enumerate(hashes)) for q in queries]
+    assert got == {i: (j, hashes[j], d) for i, (d, _, j) in enumerate(want)}
+
+
+def test_nearest_plan_of_many(spark):
+    df = spark.range(100_000).select("id", F.xxhash64("id").alias("hash"))
+    near = similarity.nearest(df.where("id % 10 = 0").select("id", F.col("hash").bitwiseXOR(F.lit(0x3F0)).alias("hash")), df)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert near.where("query_id = match_id AND distance = 6").count() == 10_000
+
+
 def test_blocks_of_queries(spark, monkeypatch):
     monkeypatch.setattr(similarity, "BROADCAST_ROWS", 7)
     hashes = clustered(4, 4, 6)
