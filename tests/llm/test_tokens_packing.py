@@ -1,10 +1,12 @@
 import random
+import sys
 import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.orc
 import pytest
 from hypothesis import given, settings
@@ -34,6 +36,28 @@ def test_encoder_is_the_library(text):
     assert tokens.word_encoder(path).encode([text])[0] == array("I", library_ids(path, text)).tobytes()
 
 
+@given(st.lists(st.none() | st.lists(st.sampled_from([*PARTS, "<", "|", "÷", "É,", "ÿ.", "Þ!", "þ-"]), max_size=8).map("".join), max_size=8))
+@settings(max_examples=400, deadline=None)
+def test_encoder_of_many_texts_is_the_library(texts):
+    """Neighbours don't touch: a text outside Latin-1 or with a special string beside plain ones, null and empty ones."""
+    path = tokens.word_tokenizer_path()
+    ids, ends = tokens.word_encoder(path).encode_array(pa.array(texts, pa.string()))
+    want = [library_ids(path, t) for t in texts]
+    assert [x.tolist() for x in np.split(ids, ends)[:-1]] == want and len(ids) == sum(map(len, want))
+
+
+def test_only_distinct_pieces_become_objects():
+    """Python's objects while a batch is looked up follow its distinct pieces, not its 180,000 pieces."""
+    path = tokens.word_tokenizer_path()
+    enc, blocks = tokens.WordEncoder(path), []
+    learn = enc._learn
+    enc._learn = lambda wanted: blocks.append(sys.getallocatedblocks()) or learn(wanted)
+    text = "Two words, two WORDS; and\nDéjà déjà vu. " * 50
+    before = sys.getallocatedblocks()
+    assert enc.encode([text] * 400) == [array("I", library_ids(path, text)).tobytes()] * 400
+    assert blocks[0] - before < 10_000
+
+
 def test_encoder_forgets_within_bounds():
     path = tokens.word_tokenizer_path()
     enc = tokens.WordEncoder(path, remembered=50)
