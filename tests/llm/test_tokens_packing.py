@@ -262,6 +262,42 @@ def test_orc_files(spark, tmp_path):
     assert seen == 5000
 
 
+def test_orc_row_index_and_bloom_filter(spark, tmp_path):
+    """Of every stripe, as the files have them; the reader wants the columns of Bloom filters named."""
+    docs = spark.range(12_000).selectExpr("id * 3 AS doc_id", "repeat('the of and ', 20) AS text")
+    tokenorc.write(docs.repartition(3), f"file://{tmp_path}/ids")
+    gateway = spark.sparkContext._gateway
+    jvm, conf = gateway.jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    seen, groups_seen = set(), 0
+    for p in sorted((tmp_path / "ids").glob("*.orc")):
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(f"file://{p}"), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        own, schema, rows = pyarrow.orc.ORCFile(str(p)), reader.getSchema(), reader.rows()
+        column, list_column = schema.findSubtype("doc_id").getId(), schema.findSubtype("ids").getMaximumId()
+        assert reader.getStripes().size() == own.nstripes and own.row_index_stride == 1000
+        named = gateway.new_array(jvm.boolean, schema.getMaximumId() + 1)
+        named[column] = True
+        for i in range(own.nstripes):
+            ids = own.read_stripe(i, columns=["doc_id"]).column(0).to_pylist()
+            footer = rows.readStripeFooter(reader.getStripes().get(i))
+            assert footer.getColumns(list_column).getKind().toString() == "DIRECT_V2"  # integer run lengths
+            index = rows.readRowIndex(i, None, named)
+            kind = index.getBloomFilterKinds()[column]
+            groups = index.getRowGroupIndex()[column].getEntryList()
+            filters = index.getBloomFilterIndex()[column].getBloomFilterList()
+            assert len(groups) == len(filters) == -(-len(ids) // 1000)
+            for k, (group, held) in enumerate(zip(groups, filters, strict=True)):
+                part, stats = ids[1000 * k : 1000 * k + 1000], group.getStatistics()
+                bounds = stats.getIntStatistics()
+                assert (bounds.getMinimum(), bounds.getMaximum(), stats.getNumberOfValues()) == (min(part), max(part), len(part))
+                bloom = jvm.org.apache.orc.util.BloomFilterIO.deserialize(kind, footer.getColumns(column), reader.getWriterVersion(), schema.findSubtype(column).getCategory(), held)
+                assert all(bloom.testLong(x) for x in part[::50])
+                absent = [x + 1 for x in part[::5]]
+                assert sum(bloom.testLong(x) for x in absent) <= 0.1 * len(absent)
+                groups_seen += 1
+            seen.update(ids)
+    assert seen == set(range(0, 36_000, 3)) and groups_seen > 4
+
+
 def test_orc_reads_by_id(spark, small, tmp_path):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     out = f"file://{tmp_path}/ids"
