@@ -116,7 +116,9 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray, l
     if n > 4 * sample:  # about 4 * sample rows have hashes this small: else each task would send as many as the sample
         labelled = labelled.where(order < int(2**64 * (4 * sample / n) - 2**63))
     ids = [r[0] for r in labelled.select("doc_id").orderBy(order, "doc_id").limit(sample).collect()]
-    rows = labelled.join(F.broadcast(rows.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")), "doc_id", "left_semi")
+    # as an Arrow table: a list would come from workers with a daemon of their own, which stay beside those of the operators
+    sampled = rows.sparkSession.createDataFrame(pa.table({"doc_id": pa.array(ids, pa.int64())}))
+    rows = labelled.join(F.broadcast(sampled), "doc_id", "left_semi")
     half = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("half")), F.lit(2)).cast("int").alias("half")
     got = rows.select("declared", half, "text", "page").mapInArrow(_count, "declared string, half int, slot long, n long").groupBy("declared", "half", "slot").agg(F.sum("n").alias("n"))
     got = got.toPandas()  # at most 2 * SLOTS rows a language, and a language a row of the sample

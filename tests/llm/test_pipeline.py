@@ -1,5 +1,7 @@
+import pyarrow as pa
+
 import corpus_pipeline
-from siftprint.llm import langid, neardup, packing, quality
+from siftprint.llm import langid, neardup, packing, quality, shared
 
 from .test_linededup import brute as brute_lines
 from .test_neardup import brute as brute_near
@@ -59,3 +61,31 @@ def test_rows_without_ids(spark):
     docs = documents(spark, [(None, "w " * 60 + str(i), "en", None) for i in range(3)])
     assert corpus_pipeline.near_dedup(spark, docs, "").count() == 3
     assert neardup.near_duplicates(docs).where("component_id IS NULL").count() == 3
+
+
+def test_batches_bounded_by_bytes(spark):
+    own = spark.newSession()  # as a caller's: without session()'s bound of rows
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = own.range(6000, numPartitions=1).selectExpr("id AS doc_id", "repeat(concat('w', id, ' '), 400) AS text", "'en' AS lang", "'h' AS source", "0L AS n_chars")
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches)
+    for _, stage in corpus_pipeline.STAGES:
+        own.conf.unset(key)
+        stage(own, docs.where("doc_id < 3"), "")
+        got = [r.n for r in docs.select("doc_id", "text").mapInArrow(sizes, "n long").collect()]
+        assert sum(got) > 10_000_000 and max(got) < 1.5 * shared.BATCH_BYTES
+    own.conf.set(key, "12345")
+    corpus_pipeline.line_dedup(own, docs.where("doc_id < 3"), "")
+    assert own.conf.get(key) == "12345"  # a bound of the caller's stays
+
+
+def test_sample_needs_no_workers_of_its_own(spark, monkeypatch):
+    docs = documents(spark, [(i, "the cat sat on the mat and slept", "en", None) for i in range(5)] + [(9, "le chat dort sur le tapis gris", "fr", None)]).cache()
+    assert docs.count() == 6
+
+    def parallelize(*_, **__):
+        raise AssertionError("rows pickled to an RDD are read by further Python workers")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", parallelize)
+    langs, _, _ = langid.fit(langid._rows(docs, "doc_id", "text", docs["lang"], None, False))
+    assert langs == ["en", "fr"]
