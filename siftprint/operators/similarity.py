@@ -70,6 +70,11 @@ class Bands:
         d = df.select("*", F.explode(F.array(*rows)).alias("_b"))
         return d.select(*df.columns, F.col("_b.band").alias("band"), F.explode("_b.values").alias("value"))
 
+    @property
+    def probes(self) -> int:
+        """Values that a query is spread to, over all bands."""
+        return sum(n_masks(width, self.radius) for _, width in band_edges(self.bands))
+
     def first(self, a: Column | str, b: Column | str) -> Column:
         """The first band in which two words are near enough."""
         near = [F.bit_count(band_value(a, lo, w).bitwiseXOR(band_value(b, lo, w))) <= self.radius for lo, w in band_edges(self.bands)]
@@ -89,16 +94,35 @@ def _join_hashes(q: DataFrame, h: DataFrame, t: int, method: str) -> DataFrame:
             bands = Bands(min(t + 1, 64), t // min(t + 1, 64))
     if bands is None:
         return _compare_all(q, h).withColumn("distance", distance).where(F.col("distance") <= t)
-    return _banded(q, h, t, bands)
+    return _banded(q, h, t, bands, n_q, n_h)
+
+
+def _banded(q: DataFrame, h: DataFrame, t: int, bands: Bands, n_q: int, n_h: int) -> DataFrame:
+    """qh, hh and distance of all pairs within t, by an equi-join on bands. n_q, n_h: rows of q and h."""
+    return _meet(bands.entries(q, "qh", True), bands.entries(h, "hh", False), t, bands, n_q * bands.probes, n_h * bands.bands)
+
 
+def _meet(e: DataFrame, f: DataFrame, t: int, bands: Bands, n_e: int, n_f: int) -> DataFrame:
+    """qh, hh and distance of all pairs within t whose entries e (spread) and f meet. n_e, n_f: their rows.
 
-def _banded(q: DataFrame, h: DataFrame, t: int, bands: Bands) -> DataFrame:
-    """qh, hh and distance of all pairs within t, by an equi-join on bands."""
-    e, f = bands.entries(q, "qh", True), bands.entries(h, "hh", False)
+    Spark takes an exploded frame to be as large as what it was exploded from, and would broadcast
+    tens of millions of entries through the driver. So a side goes to every task only if its rows are few.
+    """
+    if min(n_e, n_f) > BROADCAST_ROWS:
+        f = f.hint("merge")
+    elif n_e <= n_f:
+        e = F.broadcast(e)
+    else:
+        f = F.broadcast(f)
     met = e.join(f, ["band", "value"]).withColumn("distance", hamming("qh", "hh"))
     return met.where((F.col("distance") <= t) & (bands.first("qh", "hh") == F.col("band"))).select("qh", "hh", "distance")
 
 
+def _members(near: DataFrame, q: DataFrame, h: DataFrame) -> DataFrame:
+    """Pairs of rows for pairs of hashes. Both joins are shuffled: no index passes through the driver."""
+    return near.join(q.hint("merge"), "qh").join(h.hint("merge"), "hh").select("query_id", "match_id", F.col("hh").alias("hash"), "distance")
+
+
 def _compare_all(q: DataFrame, h: DataFrame) -> DataFrame:
     """All pairs, the queries in blocks that are small enough to go to every task."""
     n = q.count()
@@ -121,8 +145,7 @@ def range_join(queries: DataFrame, index: DataFrame, t: int, method: str = "auto
         raise InvalidInput(f"no method {method!r}")
     q = queries.where("hash IS NOT NULL").select(F.col("id").alias("query_id"), F.col("hash").alias("qh"))
     h = index.where("hash IS NOT NULL").select(F.col("id").alias("match_id"), F.col("hash").alias("hh"))
-    near = _join_hashes(q.select("qh").distinct(), h.select("hh").distinct(), min(t, 64), method)
-    return near.join(q, "qh").join(h, "hh").select("query_id", "match_id", F.col("hh").alias("hash"), "distance")
+    return _members(_join_hashes(q.select("qh").distinct(), h.select("hh").distinct(), min(t, 64), method), q, h)
 
 
 def find(index: DataFrame, query: int, t: int) -> DataFrame:
@@ -152,7 +175,7 @@ def nearest(queries: DataFrame, index: DataFrame, first_t: int = 7) -> DataFrame
     found, left, t = None, qs, first_t
     n_left, n_hashes = qs.count(), hs.count()
     while n_left and (bands := Bands.choose(t, n_left, n_hashes)):
-        near = best(_banded(left, hs, t, bands)).persist()  # read twice; a row a query
+        near = best(_banded(left, hs, t, bands, n_left, n_hashes)).persist()  # read twice; a row a query
         n_left -= near.count()
         found = near if found is None else found.unionByName(near)
         left = left.join(near, "qh", "left_anti")
@@ -161,7 +184,7 @@ def nearest(queries: DataFrame, index: DataFrame, first_t: int = 7) -> DataFrame
         far = best(_compare_all(left, hs))
         found = far if found is None else found.unionByName(far)
     found = found.select("qh", F.col("b.hh").alias("hh"), F.col("b.distance").alias("distance"))
-    return q.join(found, "qh").join(h, "hh").select("query_id", "match_id", F.col("hh").alias("hash"), "distance")
+    return q.join(found, "qh").join(h.hint("merge"), "hh").select("query_id", "match_id", F.col("hh").alias("hash"), "distance")
 
 
 def near_pairs(hashes: DataFrame, t: int, method: str = "auto") -> DataFrame:
@@ -237,11 +260,9 @@ class HashIndex:
         if self.stored is None or t > self.t:
             return range_join(queries, self.hashes, t)
         q = queries.where("hash IS NOT NULL").select(F.col("id").alias("query_id"), F.col("hash").alias("qh"))
-        e = self.bands.entries(q.select("qh").distinct(), "qh", True)
-        met = e.join(self.stored.select(F.col("hash").alias("hh"), "band", "value"), ["band", "value"]).withColumn("distance", hamming("qh", "hh"))
-        near = met.where((F.col("distance") <= t) & (self.bands.first("qh", "hh") == F.col("band"))).select("qh", "hh", "distance")
-        h = self.hashes.select(F.col("id").alias("match_id"), F.col("hash").alias("hh"))
-        return near.join(q, "qh").join(h, "hh").select("query_id", "match_id", F.col("hh").alias("hash"), "distance")
+        qs, f = q.select("qh").distinct(), self.stored.select(F.col("hash").alias("hh"), "band", "value")
+        near = _meet(self.bands.entries(qs, "qh", True), f, t, self.bands, qs.count() * self.bands.probes, f.count())
+        return _members(near, q, self.hashes.select(F.col("id").alias("match_id"), F.col("hash").alias("hh")))
 
     def __len__(self) -> int:
         return self.hashes.count()

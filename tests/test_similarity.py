@@ -161,6 +161,27 @@ def test_plan_has_no_pairwise_join(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_entries_are_not_broadcast(spark):
+    df = spark.range(100_000).select("id", F.xxhash64("id").alias("hash"))
+    one = spark.range(1).select("id", F.lit(5).cast("bigint").alias("hash"))
+    for found in (similarity.near_pairs(df, 5), similarity.range_join(df, df, 8), similarity.nearest(df.where("id % 10 = 0"), df).drop("hash")):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        joins = [x for x in plan.splitlines() if "band#" in x and "Join" in x]
+        assert joins and all("SortMergeJoin" in x for x in joins)
+    plan = similarity.range_join(one, df, 5, "banded")._jdf.queryExecution().executedPlan().toString()
+    assert any("BroadcastHashJoin" in x and "band#" in x for x in plan.splitlines())  # few rows still go to every task
+
+
+@pytest.mark.parametrize("rows", [0, 200, 10**6])
+def test_broadcast_or_not_is_exact(spark, monkeypatch, tmp_path, rows):
+    monkeypatch.setattr(similarity, "BROADCAST_ROWS", rows)
+    hashes = clustered(7, 8, 8)
+    queries, index = frames.hashes(spark, hashes[:9]), frames.hashes(spark, hashes)
+    assert sorted(map(tuple, similarity.range_join(queries, index, 6, "banded").collect())) == brute(hashes[:9], hashes, 6)
+    similarity.HashIndex(index, 5).write(str(tmp_path / "index"), 2)
+    assert sorted(map(tuple, similarity.HashIndex.open(spark, str(tmp_path / "index")).find_many(queries).collect())) == brute(hashes[:9], hashes, 5)
+
+
 def test_stream(spark, tmp_path):
     hashes = clustered(6, 3, 4)
     frames.hashes(spark, hashes).write.parquet(str(tmp_path / "in"))
