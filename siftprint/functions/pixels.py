@@ -42,11 +42,12 @@ def resize_box(stack: np.ndarray, width: int, height: int) -> np.ndarray:
     n, h, w = stack.shape
     if (w, h) == (width, height):
         return stack
-    sums = np.zeros((n, h + 1, w + 1), np.int64)
-    sums[:, 1:, 1:] = stack.astype(np.int64).cumsum(1).cumsum(2)
     x0, x1 = _edges(w, width)
     y0, y1 = _edges(h, height)
-    rows = sums[:, y1] - sums[:, y0]
+    rows = np.zeros((n, height, w + 1), np.int64)  # wide numbers for the target's rows only, not for each pixel
+    for i, (a, z) in enumerate(zip(y0, y1, strict=True)):
+        stack[:, a:z].sum(1, np.int64, rows[:, i, 1:])
+    rows.cumsum(2, out=rows)
     total = rows[:, :, x1] - rows[:, :, x0]
     area = np.maximum(1, np.outer(y1 - y0, x1 - x0))
     return (total // area).astype(np.uint8)

@@ -19,11 +19,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import BATCH_BYTES, bound_batches  # noqa: F401  the pipeline's
+
 _count = itertools.count()
 #: Rows of one key that may meet in a task of a join.
 KEY_ROWS = 2000
-#: Bytes of an Arrow batch that goes to a Python worker, about.
-BATCH_BYTES = 4_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,17 +38,6 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/") if ":" in base.split("/")[0] else "file://" + os.path.abspath(base)
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Bound the session's Arrow batches by bytes, unless it has a bound of its own.
-
-    Rows alone don't bound them: 10,000 whole texts take tens of MB, several times over in the JVM
-    (a buffer doubles as it grows) and again in the worker, for each core.
-    """
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, None) is None:
-        spark.conf.set(key, str(BATCH_BYTES))
-
-
 def fresh_path(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder; it goes when the session's JVM ends."""
     path = f"{shared_dir(spark)}/siftprint/{what}-{next(_count)}-{uuid.uuid4().hex[:12]}"

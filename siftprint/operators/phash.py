@@ -4,6 +4,7 @@ An image batch is a frame (id, width, height, pixels): gray, a byte a pixel, row
 Images may differ in size.  Null pixels have a null hash.  Rows whose pixels don't match
 their size are an error, or null with ``strict=False``.  Resizing and hashing are one step
 per Arrow batch, over all images of one size at a time, so no resized pixels are written.
+Batches are bounded by bytes: rows alone don't bound what a worker holds of them.
 """
 
 from __future__ import annotations
@@ -19,8 +20,11 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidInput
 from ..functions import phash_native, pixels
+from ..session import bound_batches
 
 ALGORITHMS = tuple(pixels.KERNELS)
+#: Pixels of a stack of images, about.
+STACK = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -64,7 +68,7 @@ def _by_size(width: pd.Series, height: pd.Series, data: pd.Series, strict: bool,
             continue
         groups.setdefault((int(w), int(h)), []).append(i)
     for (w, h), rows in groups.items():
-        most = max(1, (32 << 20) // (w * h))  # pixels of a stack are bounded
+        most = max(1, STACK // (w * h))
         for at in range(0, len(rows), most):
             part = rows[at : at + most]
             stack = np.frombuffer(b"".join(bytes(data.iloc[i]) for i in part), np.uint8).reshape(len(part), h, w)
@@ -74,7 +78,7 @@ def _by_size(width: pd.Series, height: pd.Series, data: pd.Series, strict: bool,
 
 
 def phash_column(config: PHashConfig, width: Column | str = "width", height: Column | str = "height", data: Column | str = "pixels") -> Column:
-    """The hash's words (array of BIGINT, low word first) of each image."""
+    """The hash's words (array of BIGINT, low word first) of each image.  For a session with bounded batches."""
     w, h = config.target_size
 
     @F.pandas_udf("array<bigint>")
@@ -90,7 +94,7 @@ def phash_column(config: PHashConfig, width: Column | str = "width", height: Col
 
 
 def resize_column(width: int, height: int, strict: bool = True, w: Column | str = "width", h: Column | str = "height", data: Column | str = "pixels") -> Column:
-    """Box-filtered pixels (binary) of a given size."""
+    """Box-filtered pixels (binary) of a given size.  For a session with bounded batches."""
     if width < 1 or height < 1:
         raise InvalidInput("a target has at least one pixel")
 
@@ -107,6 +111,7 @@ def phash(images: DataFrame, config: PHashConfig | None = None, out: str = "hash
     more: fields of PHashConfig, in place of config.
     """
     config = config or PHashConfig(**more)
+    bound_batches(images.sparkSession)
     df = images.withColumn(out, phash_column(config))
     return df.withColumn(f"{out}64", F.col(out)[0]) if config.n_words == 1 else df
 
@@ -126,6 +131,7 @@ def phash_grid(grids: DataFrame, algorithm: str, grid_col: str = "p", out: str =
 
 def resize(images: DataFrame, width: int, height: int, strict: bool = True) -> DataFrame:
     """``images`` at one size."""
+    bound_batches(images.sparkSession)
     return images.withColumn("pixels", resize_column(width, height, strict)).withColumns({"width": F.lit(width), "height": F.lit(height)})
 
 

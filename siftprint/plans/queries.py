@@ -12,6 +12,7 @@ from ..functions.digest import sha256_hex
 from ..functions.hamming import hamming
 from ..operators import digest, phash, similarity
 from ..operators.batch import BatchBuilder
+from ..session import bound_batches
 from ..streaming.streams import stream_digests
 from . import fixtures
 from .fixtures import table
@@ -119,6 +120,7 @@ def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hamming_pairs(spark, sf_dir):
     """How far each document's mean and median hashes are apart."""
+    bound_batches(spark)
     images = fixtures.documents(spark, sf_dir)
     h = images.select("id", phash.phash_column(phash.PHashConfig("mean"))[0].alias("a"), phash.phash_column(phash.PHashConfig("median"))[0].alias("b"))
     return h.select(F.col("id").alias("doc_id"), hamming("a", "b").alias("distance"))

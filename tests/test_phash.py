@@ -1,8 +1,10 @@
 import random
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from siftprint import InvalidInput
 from siftprint.functions import kernels, phash_native, pixels
 from siftprint.operators import phash
+from siftprint.session import BATCH_BYTES
 from siftprint.sources import frames, images
 
 from . import oracle
@@ -111,6 +114,44 @@ def test_nulls_empties_and_errors(spark):
         phash.resize_column(0, 1)
 
 
+def test_memory_is_bounded(spark):
+    own = spark.newSession()  # as a caller's: without session()'s bound of rows
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    df = own.range(3000, numPartitions=1).selectExpr("id", "50 AS width", "100 AS height", "CAST(repeat(concat('w', id % 7, ' '), 2000) AS BINARY) AS pixels").selectExpr("id", "width", "height", "substring(pixels, 1, 5000) AS pixels")
+
+    @F.pandas_udf("bigint")
+    def held(d: pd.Series) -> pd.Series:
+        return pd.Series([sum(map(len, d))] * len(d))
+
+    for make in (phash.phash, lambda x: phash.resize(x, 8, 8)):
+        own.conf.unset(key)
+        make(df)
+        assert int(own.conf.get(key)) == BATCH_BYTES
+        r = df.select(held("pixels").alias("n")).agg(F.max("n"), F.count("n")).first()
+        assert r[1] == 3000 and r[0] < 1.5 * BATCH_BYTES  # of 15 MB
+    own.conf.set(key, "12345")
+    phash.phash(df)
+    assert own.conf.get(key) == "12345"  # a bound of the caller's stays
+
+
+def test_stacks_are_bounded():
+    seen = []
+    n = 3 * phash.STACK // 10_000
+    data = pd.Series([bytes([i % 256]) * 10_000 for i in range(n)])
+    out = phash._by_size(pd.Series([100] * n), pd.Series([100] * n), data, True, lambda stack: seen.append(stack.size) or stack[:, 0, 0].tolist())
+    assert out.tolist() == [i % 256 for i in range(n)] and max(seen) <= phash.STACK
+
+
+def test_resize_keeps_no_wide_number_a_pixel():
+    stack = np.zeros((1, 2000, 1000), np.uint8)
+    tracemalloc.start()
+    pixels.resize_box(stack, 8, 8)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < stack.size
+
+
 def test_square_resize_histogram(spark):
     p = bytes(oracle.lcg(81, 2))
     df = phash.square(spark.createDataFrame([(1, p)], "id bigint, pixels binary"))
