@@ -135,6 +135,15 @@ def test_memory_is_bounded(spark):
     assert own.conf.get(key) == "12345"  # a bound of the caller's stays
 
 
+@pytest.mark.parametrize("name", ["hash_index_bands", "hash_index_len", "hamming_pairs", "resize_box_16", "pixel_histogram", "phash_block_16"])
+def test_queries_bound_their_batches(spark, small, name):
+    from siftprint.plans import queries
+
+    own = spark.newSession()
+    queries.queries()[name](own, small)
+    assert own.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) == str(BATCH_BYTES)
+
+
 def test_stacks_are_bounded():
     seen = []
     n = 3 * phash.STACK // 10_000
